@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import ledger, reading, tokens
+from logloom.llm import ledger, packing, reading, tokens
 from logloom.session import new_folder
 from logloom.sources.tables import table
 
@@ -37,6 +37,30 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The token counts of all documents, stored, since packing reads them more than once."""
+    folder = new_folder(spark, "sizes")
+    tokens.count(table(spark, d, "documents")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d))
+
+
+def p7_use(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers are used, how full they are, and the fewest that could do."""
+    fill = packing.pack(_sizes(spark, d)).groupBy("container").agg(F.sum("length").alias("n"), F.count("*").alias("items"))
+    return fill.agg(
+        F.count("*").alias("containers"),
+        F.sum("items").alias("items"),
+        F.sum("n").alias("tokens"),
+        F.max("n").alias("fullest"),
+        F.ceil(F.sum("n") / packing.CAPACITY).alias("fewest"),
+        (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("used"),
+    )
+
+
 def _model(spark: SparkSession, d: str) -> reading.Model | None:
     return reading.train(table(spark, d, "documents"), table(spark, d, "level_labels"))
 
@@ -56,7 +80,7 @@ def p8_cv(spark: SparkSession, d: str) -> DataFrame:
     return reading.scores(spark, _model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error, p6_ids, p6_roundtrip, p8_found, p8_levels, p8_cv)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error, p6_ids, p6_roundtrip, p7_pack, p7_use, p8_found, p8_levels, p8_cv)}
 
 _P1 = """
 WITH old AS (SELECT key FROM log_entries UNION SELECT key FROM hint_entries),
