@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_FILE_BYTES = 4096
@@ -24,34 +24,39 @@ def file_sizes(log: DataFrame) -> DataFrame:
     )
 
 
-def kept_records(log: DataFrame, small_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """``key, fileid, pos, len, tombstone`` of the records that merging the small files must keep.
+def kept_of(log: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``key, fileid, pos, len, tombstone`` of the records that merging some files must keep.
 
-    A record is kept if it lies in a small file, is the newest of its key by ``(fileid, pos)``,
-    and has a value or is a tombstone that hides a value in a file that isn't small. Rows
-    without ``key``, ``fileid`` or ``pos`` hold no record.
+    ``chosen`` has ``fileid`` and the flag ``chosen`` for each file. A record is kept if it lies
+    in a chosen file, is the newest of its key by ``(fileid, pos)``, and has a value or is a
+    tombstone that hides a value in a file that isn't chosen. Rows without ``key``, ``fileid``
+    or ``pos`` hold no record.
 
-    Per key this takes two mergeable states, its newest record and whether a large file holds
+    Per key this takes two mergeable states, its newest record and whether another file holds
     a value. They are folded before the shuffle, so that a hot key moves as a row for each
-    task. The sizes grow with the files: Spark broadcasts them only below its threshold and
+    task. ``chosen`` grows with the files: Spark broadcasts it only below its threshold and
     else joins by sorting, splitting what is skewed.
     """
     rows = log.where("key IS NOT NULL AND fileid IS NOT NULL AND pos IS NOT NULL").select(
         "key", "fileid", "pos", "len", F.col("value").isNull().alias("tombstone")
     )
-    small = file_sizes(log).select("fileid", (F.col("bytes") < small_bytes).alias("small"))
-    newest = F.max(F.struct("fileid", "pos", "len", "tombstone", "small")).alias("newest")
-    hidden = F.max(~F.col("tombstone") & ~F.col("small")).alias("hidden")
+    newest = F.max(F.struct("fileid", "pos", "len", "tombstone", "chosen")).alias("newest")
+    hidden = F.max(~F.col("tombstone") & ~F.col("chosen")).alias("hidden")
     return (
-        rows.join(small, "fileid")
+        rows.join(chosen.select("fileid", "chosen"), "fileid")
         .groupBy("key")
         .agg(newest, hidden)
         .select("key", "newest.*", "hidden")
-        .where("small AND (NOT tombstone OR hidden)")
+        .where("chosen AND (NOT tombstone OR hidden)")
         .select("key", "fileid", "pos", "len", "tombstone")
     )
 
 
+def kept_records(log: DataFrame, small_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+    """``key, fileid, pos, len, tombstone`` of the records that merging the small files must keep."""
+    return kept_of(log, file_sizes(log).select("fileid", (F.col("bytes") < small_bytes).alias("chosen")))
+
+
 def merge_runs(
     records: DataFrame, target_bytes: int = TARGET_FILE_BYTES, ranges: int | None = None
 ) -> DataFrame:

@@ -1,0 +1,411 @@
+"""Queries of the store's own operators: log, lookups, statistics, merges, recovery, commands, wire format."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.config import Merge, Net, Thresholds, Triggers
+from logloom.functions import resp, scalars
+from logloom.operators import compaction, log, replay, stats
+from logloom.sources.tables import table
+
+#: The test store's files are at most 64 KiB, so its limits are lower than the defaults.
+TRIGGERS = Triggers(fragmentation=0.6, dead_bytes=48_000)
+THRESHOLDS = Thresholds(fragmentation=0.9, dead_bytes=40_000, small_file=4096)
+SEGMENT_BYTES, MERGE_HOURS = 4096, (2, 9)
+
+
+def _h(*columns: str) -> list[Column]:
+    return [F.hex(c).alias(f"{c}_hex") for c in columns]
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "log_entries")
+
+
+def _feed(spark: SparkSession, d: str, sets: bool) -> DataFrame:
+    feed = table(spark, d, "change_feed").where(f"key IS NOT NULL AND value IS {'NOT ' * sets}NULL")
+    return feed.select(F.col("feed_seq").alias("seq"), "tstamp", "key", "value")
+
+
+def _commands(spark: SparkSession, d: str, several: bool = False) -> DataFrame:
+    """The events as commands: purchases and signups set a key, errors delete, views and clicks read."""
+    e = table(spark, d, "events")
+    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    op = F.when(F.col("event_type").isin("purchase", "signup"), "SET").when(F.col("event_type") == "error", "DEL").otherwise("GET")
+    if several:
+        kind = lambda k: F.encode(F.concat(user, F.lit(f":{k}")), "UTF-8")
+        own = F.encode(F.concat(user, F.lit(":"), F.when(F.col("event_type") == "signup", "signup").otherwise("purchase")), "UTF-8")
+        keys = F.when(op == "DEL", F.array(kind("purchase"), kind("signup"), kind("purchase"))).otherwise(F.array(own))
+    else:
+        keys = F.array(F.encode(user, "UTF-8"))
+    value = F.when(op == "SET", F.encode(F.col("event_id").cast("string"), "UTF-8"))
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), keys.alias("keys"), value.alias("value"))
+
+
+def _parts(commands: DataFrame) -> Column:
+    name = F.array(F.encode(F.col("op"), "UTF-8"))
+    value = F.when(F.col("op") == "SET", F.array("value")).otherwise(F.array().cast("array<binary>"))
+    return F.concat(name, F.col("keys"), value)
+
+
+def log_scan(spark: SparkSession, d: str) -> DataFrame:
+    return log.scan(_log(spark, d)).select("fileid", "pos", "len", "tstamp", *_h("key", "value"))
+
+
+def log_positions(spark: SparkSession, d: str) -> DataFrame:
+    return log.positions(_log(spark, d))
+
+
+def record_size(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("fileid", "pos", scalars.record_size().alias("size"), scalars.hint_size().alias("hint_size"))
+
+
+def file_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Names of data files, hint files and others; the ids of the data files among them."""
+    ids = table(spark, d, "segment_stats").select("fileid")
+    names = ids.select(scalars.data_file_name().alias("name")).unionByName(
+        table(spark, d, "hint_entries").select(F.concat(F.col("fileid").cast("string"), F.lit(scalars.HINT_SUFFIX)).alias("name"))
+    )
+    names = names.unionByName(table(spark, d, "nation").select(F.concat("n_name", F.lit(".data")).alias("name")))
+    return names.select(scalars.file_id("name").alias("fileid")).where("fileid IS NOT NULL").distinct()
+
+
+def next_fileid(spark: SparkSession, d: str) -> DataFrame:
+    return log.next_fileid(_log(spark, d))
+
+
+def file_rotation(spark: SparkSession, d: str) -> DataFrame:
+    rows = log.scan(_log(spark, d)).select("fileid", "pos", "len")
+    return log.rotate(rows, "fileid", ["pos"], SEGMENT_BYTES).select("fileid", "pos", "segment", "segment_pos")
+
+
+def snapshot_latest(spark: SparkSession, d: str) -> DataFrame:
+    return log.snapshot(_log(spark, d)).select(*_h("key", "value"), "fileid", "pos", "len", "tstamp")
+
+
+def get_batch(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "change_feed").select("feed_seq", "key")
+    return log.get_batch(requests, log.snapshot(_log(spark, d))).select("feed_seq", "found", *_h("value"))
+
+
+def set_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The store after all sets of the feed were appended to its log, in their order."""
+    old = _log(spark, d)
+    first = log.next_fileid(old).first()["fileid"]
+    new = log.as_records(_feed(spark, d, True), first, 65_536)
+    return log.snapshot(log.records(old).select(*new.columns).unionByName(new)).select(*_h("key", "value"), "tstamp")
+
+
+def del_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The store after tombstones of all deletes of the feed were appended to its log."""
+    old = _log(spark, d)
+    first = log.next_fileid(old).first()["fileid"]
+    new = log.as_records(_feed(spark, d, False), first, 65_536)
+    return log.snapshot(log.records(old).select(*new.columns).unionByName(new)).select(*_h("key", "value"), "tstamp")
+
+
+def del_existed(spark: SparkSession, d: str) -> DataFrame:
+    return log.deleted(_feed(spark, d, False), log.snapshot(_log(spark, d))).select(*_h("key"), "existed")
+
+
+def del_count(spark: SparkSession, d: str) -> DataFrame:
+    return log.del_count(_feed(spark, d, False), log.snapshot(_log(spark, d)))
+
+
+def segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.segment_stats(_log(spark, d)).drop("fragmentation")
+
+
+def fragmentation(spark: SparkSession, d: str) -> DataFrame:
+    return stats.segment_stats(_log(spark, d)).select("fileid", F.round("fragmentation", 9).alias("fragmentation"))
+
+
+def merge_trigger(spark: SparkSession, d: str) -> DataFrame:
+    return stats.merge_trigger(stats.segment_stats(_log(spark, d)), TRIGGERS)
+
+
+def merge_window(spark: SparkSession, d: str) -> DataFrame:
+    return stats.by_merge_hour(table(spark, d, "change_feed"), "received_at", *MERGE_HOURS)
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    return stats.merge_candidates(stats.segment_stats(_log(spark, d)), THRESHOLDS)
+
+
+def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _chosen(spark, d).select("fileid")
+
+
+def merge_rewrite_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = compaction.rewritten(_log(spark, d), _chosen(spark, d))
+    return rows.select("fileid", "pos", "len", "tstamp", *_h("key", "value"), "tombstone")
+
+
+def _compacted(spark: SparkSession, d: str) -> DataFrame:
+    rows, chosen = _log(spark, d), _chosen(spark, d)
+    first = log.next_fileid(rows).first()["fileid"]
+    merged = compaction.merge_files(rows, chosen, first).withColumn("merged", F.lit(True))
+    return compaction.unmerged(rows, chosen).distinct().withColumn("merged", F.lit(False)).unionByName(merged)
+
+
+def compacted_log(spark: SparkSession, d: str) -> DataFrame:
+    return _compacted(spark, d).select("merged", "len", "tstamp", *_h("key", "value"))
+
+
+def compacted_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """What the store holds after the merge: the same as before."""
+    return log.snapshot(_compacted(spark, d)).select(*_h("key", "value"), "len", "tstamp")
+
+
+def compacted_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of all files after the merge, added up."""
+    total = lambda c: F.sum(c).alias(c)
+    return stats.segment_stats(_compacted(spark, d)).agg(*map(total, ("live_keys", "dead_keys", "dead_bytes", "file_bytes")))
+
+
+def hint_index(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.hints(_log(spark, d)).select("fileid", "pos", "len", "tstamp", *_h("key"))
+
+
+def recovery_union(spark: SparkSession, d: str) -> DataFrame:
+    rows = compaction.recovery_index(_log(spark, d), table(spark, d, "hint_entries"))
+    return rows.select("fileid", "pos", "len", "tstamp", *_h("key"), "tombstone")
+
+
+def recovered_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = compaction.recover(_log(spark, d), table(spark, d, "hint_entries"))
+    return rows.select(*_h("key"), "fileid", "pos", "len", "tstamp")
+
+
+def command_replay(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replay(_commands(spark, d)).select("seq", "kind", "int_val", F.col("bytes_val").cast("string").alias("text"))
+
+
+def del_multi_replay(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replay(_commands(spark, d, True)).select("seq", "kind", "int_val", F.col("bytes_val").cast("string").alias("text"))
+
+
+def _feed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the feed as commands of which many are bad: the names are the producers' own."""
+    name = (
+        F.when(F.col("op").isin("insert", "i", "INSERT"), "SET").when(F.col("op").isin("update", "UPDATE"), "GET")
+        .when(F.col("op").isin("delete", "d"), "DEL").otherwise(F.col("op"))
+    )
+    given = F.filter(F.array(F.encode(name, "UTF-8"), F.col("key"), F.col("value")), lambda x: x.isNotNull())
+    return table(spark, d, "change_feed").select("feed_seq", given.alias("parts"))
+
+
+def command_validate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _feed_parts(spark, d).where("get(parts, 0) IS NOT NULL AND feed_seq IS NOT NULL")
+    return rows.select("feed_seq", F.coalesce(resp.command_error(F.col("parts")), F.lit("OK")).alias("outcome")).where(
+        "outcome = 'OK' OR outcome NOT LIKE 'BadCommand%'"
+    )
+
+
+def key_utf8_check(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("key").distinct().select(*_h("key"), scalars.is_utf8("key").alias("valid"))
+
+
+def resp_encode_commands(spark: SparkSession, d: str) -> DataFrame:
+    commands = _commands(spark, d, True)
+    return commands.select("seq", F.hex(resp.encode_command(_parts(commands))).alias("frame_hex"))
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    replies = replay.replay(_commands(spark, d))
+    frame = resp.encode_reply(F.col("kind"), F.col("int_val"), F.col("bytes_val"))
+    return replies.withColumn("frame", frame)
+
+
+def resp_encode_replies(spark: SparkSession, d: str) -> DataFrame:
+    return _replies(spark, d).select("seq", F.hex("frame").alias("frame_hex"))
+
+
+def resp_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The replies encoded and decoded again."""
+    frames = resp.decode_frames(_replies(spark, d), "seq", "frame")
+    return frames.select(F.col("frame_id").alias("seq"), "kind", "int_val", F.col("bytes_val").cast("string").alias("text"))
+
+
+def resp_decode_commands(spark: SparkSession, d: str) -> DataFrame:
+    """The commands encoded and decoded again, one row for each argument."""
+    commands = _commands(spark, d, True)
+    encoded = commands.select("seq", resp.encode_command(_parts(commands)).alias("frame"))
+    frames = resp.decode_frames(encoded, "seq", "frame").where("kind = 'bulk'")
+    return frames.select(F.col("frame_id").alias("seq"), F.get("path", F.lit(0)).alias("place"), F.col("bytes_val").cast("string").alias("text"))
+
+
+def cli_render(spark: SparkSession, d: str) -> DataFrame:
+    shown = resp.render(F.col("kind"), F.col("int_val"), F.col("bytes_val"))
+    return replay.replay(_commands(spark, d)).select("seq", shown.alias("shown"))
+
+
+def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return scalars.backoff_schedule(spark, Net().min_backoff_ms, Net().max_backoff_ms)
+
+
+def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
+    low, high = scalars.jitter_bounds(F.col("interval"), F.lit(Merge().check_jitter))
+    rows = spark.range(1).select(F.lit(Merge().check_interval_ms).alias("interval"))
+    return rows.select(low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        log_scan, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, get_batch, set_upsert,
+        del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
+        merge_rewrite_rows, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
+        command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
+        resp_decode, resp_decode_commands, cli_render, backoff_schedule, jitter_bounds,
+    )
+}
+
+_LOG = """
+WITH one AS (SELECT DISTINCT fileid, pos, len, tstamp, key, value FROM log_entries),
+newest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fileid DESC, pos DESC) AS n FROM one) WHERE n = 1
+), snap AS (SELECT * FROM newest WHERE value IS NOT NULL)"""
+_STATS = (
+    _LOG
+    + """, later AS (
+  SELECT *, value IS NOT NULL AND lead(fileid) OVER (PARTITION BY key ORDER BY fileid, pos) IS NULL AS live FROM one
+), stats AS (
+  SELECT fileid, count(*) FILTER (WHERE live) AS live_keys, count(*) FILTER (WHERE NOT live) AS dead_keys,
+    CAST(coalesce(sum(len) FILTER (WHERE NOT live), 0) AS BIGINT) AS dead_bytes, CAST(sum(len) AS BIGINT) AS file_bytes
+  FROM later GROUP BY fileid
+), parts AS (
+  SELECT *, CASE WHEN dead_keys = 0 THEN 0.0 ELSE CAST(dead_keys AS DOUBLE) / (dead_keys + live_keys) END AS fragmentation FROM stats
+), chosen AS (SELECT fileid FROM parts WHERE dead_bytes > 40000 OR fragmentation > 0.9 OR file_bytes < 4096)"""
+)
+_MERGE = (
+    _STATS
+    + """, kept AS (
+  SELECT n.*, n.value IS NULL AS tombstone FROM newest n
+  WHERE n.fileid IN (SELECT fileid FROM chosen) AND (n.value IS NOT NULL OR n.key IN (
+    SELECT o.key FROM one o WHERE o.value IS NOT NULL AND o.fileid NOT IN (SELECT fileid FROM chosen)))
+), after AS (
+  SELECT false AS merged, fileid, pos, len, tstamp, key, value FROM one WHERE fileid NOT IN (SELECT fileid FROM chosen)
+  UNION ALL SELECT true, fileid, pos, len, tstamp, key, value FROM kept
+)"""
+)
+_AFTER = """
+WITH seen AS (
+  SELECT key, value, tstamp, 0 AS part, fileid AS a, pos AS b FROM log_entries
+  UNION ALL SELECT key, value, tstamp, 1, feed_seq, 0 FROM change_feed WHERE key IS NOT NULL AND value IS {}NULL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part DESC, a DESC, b DESC) AS n FROM seen)
+SELECT hex(key) AS key_hex, hex(value) AS value_hex, tstamp FROM ranked WHERE n = 1 AND value IS NOT NULL
+"""
+_DELETED = (
+    _LOG
+    + """, asked AS (SELECT DISTINCT key FROM change_feed WHERE key IS NOT NULL AND value IS NULL),
+existed AS (SELECT a.key, s.key IS NOT NULL AS existed FROM asked a LEFT JOIN snap s ON s.key = a.key)"""
+)
+_OPS = """
+WITH commands AS (
+  SELECT event_id AS seq, 'user:' || user_id AS user, event_type AS kind, CAST(event_id AS VARCHAR) AS value,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'SET' WHEN event_type = 'error' THEN 'DEL' ELSE 'GET' END AS op
+  FROM events
+)"""
+_REPLIES = (
+    _OPS
+    + """, touched AS (
+  SELECT seq, 0 AS idx, op, user AS key, value FROM commands
+), prev AS (
+  SELECT *, last_value(CASE WHEN op = 'SET' THEN value WHEN op = 'DEL' THEN '' END IGNORE NULLS) OVER (
+    PARTITION BY key ORDER BY seq, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM touched
+), replies AS (
+  SELECT seq, CASE WHEN op = 'SET' THEN 'simple' WHEN before <> '' THEN 'bulk' ELSE 'null' END AS kind,
+    CAST(NULL AS BIGINT) AS int_val, CASE WHEN op = 'SET' THEN 'OK' WHEN before <> '' THEN before END AS text
+  FROM prev WHERE op <> 'DEL'
+  UNION ALL
+  SELECT seq, 'integer', count(*) FILTER (WHERE before <> ''), NULL FROM prev WHERE op = 'DEL' GROUP BY seq
+)"""
+)
+_MULTI = _REPLIES.replace(
+    "SELECT seq, 0 AS idx, op, user AS key, value FROM commands",
+    """SELECT seq, 0 AS idx, op, user || CASE WHEN kind = 'signup' THEN ':signup' ELSE ':purchase' END AS key, value
+  FROM commands WHERE op <> 'DEL'
+  UNION ALL SELECT seq, i, op, user || k, value FROM commands,
+    (VALUES (0, ':purchase'), (1, ':signup'), (2, ':purchase')) AS v(i, k) WHERE op = 'DEL'""",
+)
+_ARGS = (
+    _OPS
+    + """, args AS (
+  SELECT seq, 0 AS place, op AS text FROM commands
+  UNION ALL SELECT seq, 1, user || CASE WHEN kind = 'signup' THEN ':signup' ELSE ':purchase' END FROM commands
+  UNION ALL SELECT seq, 2, user || ':signup' FROM commands WHERE op = 'DEL'
+  UNION ALL SELECT seq, 3, user || ':purchase' FROM commands WHERE op = 'DEL'
+  UNION ALL SELECT seq, 2, value FROM commands WHERE op = 'SET'
+)"""
+)
+_RECOVERY = """
+WITH data AS (SELECT DISTINCT fileid, pos, len, tstamp, key, value IS NULL AS tombstone FROM log_entries),
+own AS (SELECT DISTINCT fileid, pos, len, tstamp, key, false AS tombstone FROM hint_entries WHERE fileid IN (SELECT fileid FROM data)),
+both_ AS (SELECT * FROM own UNION ALL SELECT * FROM data WHERE fileid NOT IN (SELECT fileid FROM own))"""
+
+ORACLE = {
+    "log_scan": _LOG + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex FROM one",
+    "log_positions": _LOG
+    + """ SELECT fileid, pos, CAST(coalesce(sum(len) OVER (PARTITION BY fileid ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_pos FROM one""",
+    "record_size": """SELECT fileid, pos, CAST(coalesce(25 + octet_length(key) + octet_length(value), 17 + octet_length(key)) AS BIGINT) AS size,
+  CAST(32 + octet_length(key) AS BIGINT) AS hint_size FROM log_entries""",
+    "file_ids": "SELECT fileid FROM segment_stats WHERE fileid IS NOT NULL",
+    "next_fileid": "SELECT CAST(coalesce(max(fileid) + 1, 0) AS BIGINT) AS fileid FROM log_entries",
+    "file_rotation": """
+WITH RECURSIVE one AS (
+  SELECT *, row_number() OVER (PARTITION BY fileid ORDER BY pos) AS n FROM (SELECT DISTINCT fileid, pos, len FROM log_entries)
+), fold AS (
+  SELECT fileid, pos, len, n, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS segment_pos FROM one WHERE n = 1
+  UNION ALL
+  SELECT o.fileid, o.pos, o.len, o.n, f.segment + CASE WHEN f.segment_pos + f.len > 4096 THEN 1 ELSE 0 END,
+    CASE WHEN f.segment_pos + f.len > 4096 THEN 0 ELSE f.segment_pos + f.len END
+  FROM fold f JOIN one o ON o.fileid = f.fileid AND o.n = f.n + 1
+)
+SELECT fileid, pos, segment, segment_pos FROM fold""",
+    "snapshot_latest": _LOG + " SELECT hex(key) AS key_hex, hex(value) AS value_hex, fileid, pos, len, tstamp FROM snap",
+    "get_batch": _LOG
+    + """ SELECT f.feed_seq, s.key IS NOT NULL AS found, hex(s.value) AS value_hex
+  FROM change_feed f LEFT JOIN snap s ON s.key = f.key""",
+    "set_upsert": _AFTER.format("NOT "),
+    "del_apply": _AFTER.format(""),
+    "del_existed": _DELETED + " SELECT hex(key) AS key_hex, existed FROM existed",
+    "del_count": _DELETED + " SELECT count(*) FILTER (WHERE existed) AS deleted FROM existed",
+    "segment_stats": _STATS + " SELECT fileid, live_keys, dead_keys, dead_bytes, file_bytes FROM stats",
+    "fragmentation": _STATS + " SELECT fileid, round(fragmentation, 9) AS fragmentation FROM parts",
+    "merge_trigger": _STATS + " SELECT bool_or(dead_bytes > 48000 OR fragmentation > 0.6) AS merge FROM parts",
+    "merge_window": """SELECT coalesce(hour(received_at) BETWEEN 2 AND 9, false) AS open, count(*) AS n FROM change_feed GROUP BY 1""",
+    "merge_candidates": _STATS + " SELECT fileid FROM chosen",
+    "merge_rewrite_rows": _MERGE
+    + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex, tombstone FROM kept",
+    "compacted_log": _MERGE + " SELECT merged, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex FROM after",
+    "compacted_snapshot": _LOG + " SELECT hex(key) AS key_hex, hex(value) AS value_hex, len, tstamp FROM snap",
+    "compacted_stats": _MERGE
+    + """, live AS (SELECT count(*) AS k, sum(len) AS b FROM snap)
+SELECT (SELECT k FROM live) AS live_keys, count(*) - (SELECT k FROM live) AS dead_keys,
+  CAST(sum(len) - (SELECT b FROM live) AS BIGINT) AS dead_bytes, CAST(sum(len) AS BIGINT) AS file_bytes FROM after""",
+    "hint_index": _LOG + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex FROM snap",
+    "recovery_union": _RECOVERY + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, tombstone FROM both_",
+    "recovered_index": _RECOVERY
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fileid DESC, pos DESC, len DESC, tstamp DESC) AS n FROM both_)
+SELECT hex(key) AS key_hex, fileid, pos, len, tstamp FROM ranked WHERE n = 1 AND NOT tombstone""",
+    "command_replay": _REPLIES + " SELECT seq, kind, int_val, text FROM replies",
+    "del_multi_replay": _MULTI + " SELECT seq, kind, int_val, text FROM replies",
+    "resp_encode_commands": _ARGS
+    + """ SELECT seq, hex(encode('*' || count(*) || chr(13) || chr(10) || string_agg('$' || octet_length(encode(text)) || chr(13) || chr(10)
+  || text || chr(13) || chr(10), '' ORDER BY place))) AS frame_hex FROM args GROUP BY seq""",
+    "resp_encode_replies": _REPLIES
+    + """ SELECT seq, hex(encode(CASE kind WHEN 'simple' THEN '+' || text WHEN 'integer' THEN ':' || int_val WHEN 'null' THEN '$-1'
+  ELSE '$' || octet_length(encode(text)) || chr(13) || chr(10) || text END || chr(13) || chr(10))) AS frame_hex FROM replies""",
+    "resp_decode": _REPLIES + " SELECT seq, kind, int_val, text FROM replies",
+    "resp_decode_commands": _ARGS + " SELECT seq, place, text FROM args",
+    "cli_render": _REPLIES
+    + """ SELECT seq, CASE kind WHEN 'null' THEN '(nil)' WHEN 'integer' THEN '(integer) ' || int_val ELSE '"' || text || '"' END AS shown
+  FROM replies""",
+    "backoff_schedule": """SELECT CAST(i + 1 AS BIGINT) AS attempt, CAST(500 * pow(2, i) AS BIGINT) AS wait_ms
+  FROM range(0, 8) AS r(i) WHERE 500 * pow(2, i) <= 64000""",
+    "jitter_bounds": "SELECT CAST(18000 - 18000 * 0.3 AS DOUBLE) AS low, CAST(18000 + 18000 * 0.3 AS DOUBLE) AS high",
+}
