@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Files whose records share a partition of the stored result.
 FILES_PER_PART = 1024
@@ -110,10 +111,12 @@ class IncrementalTable:
         )
         number = (self._generations() or [0])[-1] + 1
         now.write.mode("overwrite").parquet(f"{self.root}/fingerprints/{number}")
-        return self.read()
+        return self.read(result.schema)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/rows").where("_row").drop("_row")
+    def read(self, schema: T.StructType | None = None) -> DataFrame:
+        """The stored rows. Without ``schema``, with ``_row`` as a boolean, some row must have been stored."""
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/rows").where("_row").drop("_row")
 
 
 def successful_attempts(ledger: DataFrame) -> DataFrame:

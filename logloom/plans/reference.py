@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.config import Merge, Net, Thresholds, Triggers
 from logloom.functions import resp, scalars
 from logloom.operators import compaction, log, replay, stats
+from logloom.sources import records as files
 from logloom.sources.tables import table
 
 #: The test store's files are at most 64 KiB, so its limits are lower than the defaults.
@@ -54,6 +55,12 @@ def log_scan(spark: SparkSession, d: str) -> DataFrame:
     return log.scan(_log(spark, d)).select("fileid", "pos", "len", "tstamp", *_h("key", "value"))
 
 
+def log_file_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as the bytes of its data files and read from these again."""
+    read = files.from_images(files.images(_log(spark, d)))
+    return read.select("fileid", "pos", "len", "tstamp", *_h("key", "value"))
+
+
 def log_positions(spark: SparkSession, d: str) -> DataFrame:
     return log.positions(_log(spark, d))
 
@@ -191,17 +198,16 @@ def _feed_parts(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the feed as commands of which many are bad: the names are the producers' own."""
     name = (
         F.when(F.col("op").isin("insert", "i", "INSERT"), "SET").when(F.col("op").isin("update", "UPDATE"), "GET")
-        .when(F.col("op").isin("delete", "d"), "DEL").otherwise(F.col("op"))
+        .when(F.col("op").isin("delete", "d"), "DEL").otherwise(F.coalesce("op", F.lit("")))
     )
-    given = F.filter(F.array(F.encode(name, "UTF-8"), F.col("key"), F.col("value")), lambda x: x.isNotNull())
+    arguments = F.filter(F.array("key", "value"), lambda x: x.isNotNull())
+    given = F.concat(F.array(F.encode(name, "UTF-8")), arguments)
     return table(spark, d, "change_feed").select("feed_seq", given.alias("parts"))
 
 
 def command_validate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _feed_parts(spark, d).where("get(parts, 0) IS NOT NULL AND feed_seq IS NOT NULL")
-    return rows.select("feed_seq", F.coalesce(resp.command_error(F.col("parts")), F.lit("OK")).alias("outcome")).where(
-        "outcome = 'OK' OR outcome NOT LIKE 'BadCommand%'"
-    )
+    rows = _feed_parts(spark, d)
+    return rows.select("feed_seq", F.coalesce(resp.command_error(F.col("parts")), F.lit("OK")).alias("outcome"))
 
 
 def key_utf8_check(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +261,7 @@ def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        log_scan, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, get_batch, set_upsert,
+        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, get_batch, set_upsert,
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
@@ -348,6 +354,7 @@ both_ AS (SELECT * FROM own UNION ALL SELECT * FROM data WHERE fileid NOT IN (SE
 
 ORACLE = {
     "log_scan": _LOG + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex FROM one",
+    "log_file_bytes": _LOG + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex FROM one",
     "log_positions": _LOG
     + """ SELECT fileid, pos, CAST(coalesce(sum(len) OVER (PARTITION BY fileid ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_pos FROM one""",
@@ -394,6 +401,25 @@ SELECT (SELECT k FROM live) AS live_keys, count(*) - (SELECT k FROM live) AS dea
 SELECT hex(key) AS key_hex, fileid, pos, len, tstamp FROM ranked WHERE n = 1 AND NOT tombstone""",
     "command_replay": _REPLIES + " SELECT seq, kind, int_val, text FROM replies",
     "del_multi_replay": _MULTI + " SELECT seq, kind, int_val, text FROM replies",
+    "key_utf8_check": "SELECT hex(key) AS key_hex, try(decode(key)) IS NOT NULL AS valid FROM log_entries GROUP BY key",
+    "command_validate": """
+WITH named AS (
+  SELECT feed_seq, CASE WHEN op IN ('insert', 'i', 'INSERT') THEN 'SET' WHEN op IN ('update', 'UPDATE') THEN 'GET'
+    WHEN op IN ('delete', 'd') THEN 'DEL' ELSE coalesce(op, '') END AS name,
+    (key IS NOT NULL)::INT + (value IS NOT NULL)::INT AS n,
+    coalesce(key, value) AS first, CASE WHEN key IS NOT NULL THEN value END AS second
+  FROM change_feed
+), checked AS (
+  SELECT *, first IS NOT NULL AND try(decode(first)) IS NULL AS bad1, second IS NOT NULL AND try(decode(second)) IS NULL AS bad2 FROM named
+)
+SELECT feed_seq, CASE name
+  WHEN 'DEL' THEN CASE WHEN n = 0 THEN 'BadArguments: Keys are empty' WHEN bad1 OR bad2 THEN 'NotUtf8' ELSE 'OK' END
+  WHEN 'GET' THEN CASE WHEN n = 0 THEN 'BadArguments: Key is not given' WHEN bad1 THEN 'NotUtf8'
+    WHEN n > 1 THEN 'BadArguments: Frame contains extra data' ELSE 'OK' END
+  WHEN 'SET' THEN CASE WHEN n = 0 THEN 'BadArguments: Key is not given' WHEN bad1 THEN 'NotUtf8'
+    WHEN n = 1 THEN 'BadArguments: Value is not given' ELSE 'OK' END
+  ELSE 'BadCommand: ' || name END AS outcome
+FROM checked""",
     "resp_encode_commands": _ARGS
     + """ SELECT seq, hex(encode('*' || count(*) || chr(13) || chr(10) || string_agg('$' || octet_length(encode(text)) || chr(13) || chr(10)
   || text || chr(13) || chr(10), '' ORDER BY place))) AS frame_hex FROM args GROUP BY seq""",
