@@ -26,10 +26,18 @@ def rewritten(log: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def merge_files(log: DataFrame, chosen: DataFrame, first_fileid: int, target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
-    """What a merge writes: the copied records, by key, in new files from ``first_fileid`` on."""
-    merged = merge_runs(rewritten(log, chosen), target_bytes)
-    fileid = F.lit(first_fileid) + F.col("range_no") * F.lit(1 << 20) + F.col("file_no")
-    return merged.select(fileid.cast("bigint").alias("fileid"), F.col("new_pos").alias("pos"), "len", "tstamp", "key", "value")
+    """What a merge writes: the copied records, by key, in new files from ``first_fileid`` on.
+
+    Tombstones go into files of their own, with odd offsets. Hints tell of live records only, and
+    recovery doesn't read a file that has hints, so a tombstone must not share one with them.
+    """
+    kept = rewritten(log, chosen)
+    parts = []
+    for odd in (0, 1):
+        merged = merge_runs(kept.where("tombstone" if odd else "NOT tombstone"), target_bytes)
+        fileid = F.lit(first_fileid + odd) + 2 * (F.col("range_no").cast("bigint") * F.lit(1 << 20) + F.col("file_no"))
+        parts.append(merged.select(fileid.alias("fileid"), F.col("new_pos").alias("pos"), "len", "tstamp", "key", "value"))
+    return parts[0].unionByName(parts[1])
 
 
 def unmerged(log: DataFrame, chosen: DataFrame) -> DataFrame:
