@@ -92,6 +92,7 @@ def seen_before(
     ledger.first_arrivals(feed, order).write.parquet(new_root)
     new = feed.sparkSession.read.parquet(new_root)
     ledger.append(new)
+    ledger.close()
     return ledger.seen(feed, order, new)
 
 

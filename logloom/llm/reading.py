@@ -16,6 +16,7 @@ from logloom.llm.tokens import parts_of
 #: The most labelled documents that the model is fitted on: those with the lowest hash of their id.
 MAX_LABELLED = 20_000
 FOLDS = 5
+SCALE = (1.0, 5.0)
 
 #: Words whose frequency tells of syntax.
 WORDS = [
@@ -72,10 +73,17 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     or a credit; a word before a colon names who speaks. All texts are handled at once as
     arrays of bytes: words, sentences and lines are runs of bytes, and each feature is a sum.
     """
-    n_docs, n = len(ends), len(data)
+    n_docs = len(ends)
     out = np.zeros((n_docs, len(NAMES)), np.float32)
-    if not n:
+    if not len(data):
         return out, np.zeros(n_docs, np.int64)
+    # A line break after each text, so that none runs into the next.
+    ends = ends + np.arange(1, n_docs + 1)
+    own = np.ones(ends[-1], bool)
+    own[ends - 1] = False
+    apart = np.full(ends[-1], 10, np.uint8)
+    apart[own] = data
+    data, n = apart, len(apart)
     begins = np.concatenate([[0], ends[:-1]])
     b = np.concatenate([data, np.full(2, 10, np.uint8)])
     b0, b1, b2 = b[:n], b[1 : n + 1], b[2:]
@@ -163,13 +171,12 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n_distinct = np.bincount(d_of, minlength=n_docs)
     n_long = np.maximum(np.bincount(of, length >= 5, n_docs), 1)
     content = length >= 5
-    s_hash = hashes[content] * np.uint64(3)
-    pair = np.unique(s_hash + sentence[content].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    here, here_at = np.unique(s_hash + sentence[content].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), return_index=True)
-    ago = s_hash[here_at] + (sentence[content][here_at] - 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    found = np.minimum(np.searchsorted(pair, ago), max(len(pair) - 1, 0))
-    again = pair[found] == ago if len(pair) else np.zeros(0, bool)
-    c_of = of[content][here_at]
+    step = np.uint64(0xD1B54A32D192ED03)
+    in_sentence, here = np.unique(mixed[content] + sentence[content].astype(np.uint64) * step, return_index=True)
+    ago = in_sentence - step
+    found = np.minimum(np.searchsorted(in_sentence, ago), max(len(in_sentence) - 1, 0))
+    again = in_sentence[found] == ago if len(in_sentence) else np.zeros(0, bool)
+    c_of = of[content][here]
     columns += [
         c[:, None]
         for c in (
@@ -194,7 +201,7 @@ class Model:
     """Trees on the features, and what their predictions mean on the labels' scale."""
 
     trees: boosting.Trees
-    scale: boosting.Isotonic
+    scale: boosting.Line
     held_out: np.ndarray
     labels: np.ndarray
     fold: np.ndarray
@@ -240,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, k: int =
     got = rows.mapInArrow(run, schema).where("words > 0").toArrow()
     if not got.num_rows:
         return None
-    order = np.lexsort([np.array(got["x"].to_pylist(), object).astype("S64"), got["level"].to_numpy()])
-    got = got.take(pa.array(order))
+    # The order of rows decides which of them a round of boosting sees, so it is made the same each time.
+    marks = list(zip(got["x"].to_pylist(), got["level"].to_pylist(), map(str, got["source"].to_pylist()), strict=True))
+    got = got.take(pa.array(sorted(range(len(marks)), key=marks.__getitem__)))
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, -1)
     y = got["level"].to_numpy().astype(float)
     fold = boosting.folds(got["source"].to_pylist(), k)
@@ -249,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, k: int =
     for f in range(k):
         if (fold == f).any() and (fold != f).any():
             held_out[fold == f] = boosting.fit(x[fold != f], y[fold != f]).predict(x[fold == f])
-    return Model(boosting.fit(x, y), boosting.isotonic(held_out, y), held_out, y, fold)
+    return Model(boosting.fit(x, y), boosting.calibrate(held_out, y, *SCALE), held_out, y, fold)
 
 
 def levels(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -156,6 +156,7 @@ class Transducer:
         self.out = np.zeros(4096, np.int32)
         self.made = 0
         self.outputs: dict[tuple[int, ...], int] = {(): 0}
+        self._flat: np.ndarray | None = None
         self.out_ids, self.out_len = [()], np.zeros(1024, np.int32)
         self._state((((), -1, 0),))
 
@@ -331,7 +332,7 @@ class Transducer:
         total = np.concatenate([[0], np.cumsum(self.out_len[outputs], dtype=np.int64)])
         counts = np.diff(total[np.concatenate([[0], np.cumsum(slots)])])
         outputs = outputs[outputs > 0]
-        if getattr(self, "_flat", None) is None:
+        if self._flat is None:
             self._flat = np.array([i for ids in self.out_ids for i in ids], np.int32)
             lens = np.array([len(ids) for ids in self.out_ids])
             self._from = np.cumsum(lens) - lens
