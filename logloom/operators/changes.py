@@ -16,12 +16,15 @@ def distinct_changes(
 ) -> DataFrame:
     """One row for each change of the feed, with the lowest ``order`` among its copies.
 
-    Copies agree in ``key`` and ``fields``; should they not, they count as one change for each
-    key, and the smallest value of a field that is set counts. Rows without ``key`` or
-    ``change`` hold no record and are left out. A NULL ``order`` counts only if all copies
-    have it.
+    Each field ``f`` is followed by ``f_set``, whether it isn't NULL, so that who only asks that
+    doesn't move the values. Copies agree in ``key`` and ``fields``; should they not, they count as
+    one change for each key, and the smallest value of a field that is set counts. Rows without
+    ``key`` or ``change`` hold no record and are left out. A NULL ``order`` counts only if all
+    copies have it.
     """
-    picked = "".join(f", min({_name(f)}) AS {_name(f)}" for f in fields)
+    picked = "".join(
+        f", min({_name(f)}) AS {_name(f)}, bool_or({_name(f)} IS NOT NULL) AS {_name(f + '_set')}" for f in fields
+    )
     return feed.sparkSession.sql(
         f"""
         SELECT {_name(key)}, {_name(change)}, min({_name(order)}) AS {_name(order)}{picked}
@@ -104,7 +107,7 @@ def rebuild_store(feed: DataFrame) -> DataFrame:
         changes,
         "key",
         ["tstamp", "change_no"],
-        {c: (c, "value IS NOT NULL") for c in ("value", "tstamp", "change_no")},
-        deletes="value IS NULL",
-        replaces="value IS NOT NULL",
+        {c: (c, "value_set") for c in ("value", "tstamp", "change_no")},
+        deletes="NOT value_set",
+        replaces="value_set",
     )
