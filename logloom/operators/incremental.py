@@ -45,11 +45,12 @@ def changed_parts(now: DataFrame, before: DataFrame) -> DataFrame:
 class IncrementalTable:
     """A stored result with one Parquet partition for each partition of its source.
 
-    ``refresh`` compares fingerprints of the source with those of the last refresh that ended
-    well, computes the partitions that differ and replaces each of them as a whole by dynamic
-    partition overwrite. The new fingerprints are written only after the rows are committed. A
+    ``refresh`` takes fingerprints of the source, compares them with those of the last refresh
+    that ended well, computes the partitions that differ and replaces each of them as a whole by
+    dynamic partition overwrite. The new fingerprints count only after the rows are committed. A
     run that fails in between so changes nothing that counts as done: the next run finds the
-    same partitions changed, and writes the same rows again over them.
+    same partitions changed, and writes their rows again. Rows that come while a run reads are
+    in none of its fingerprints, so the next run finds their partitions changed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -91,7 +92,10 @@ class IncrementalTable:
         partitions; each partition's result must follow from its own rows.
         ``before``: fingerprints to compare with instead of those of the last refresh.
         """
-        now = fingerprints(source, part, columns)
+        number = (self._generations() or [0])[-1] + 1
+        pending = f"{self.root}/pending/{number}"
+        fingerprints(source, part, columns).write.mode("overwrite").parquet(pending)
+        now = self.spark.read.schema("part bigint, n bigint, high bigint, low bigint").parquet(pending)
         changed = changed_parts(now, self.before() if before is None else before)
         these = changed.withColumnRenamed("part", "_changed_part")
         touched = compute(source.join(these, F.expr(f"`{part}` <=> _changed_part"), "left_semi"))
@@ -109,8 +113,11 @@ class IncrementalTable:
             .partitionBy(part)
             .parquet(f"{self.root}/rows")
         )
-        number = (self._generations() or [0])[-1] + 1
-        now.write.mode("overwrite").parquet(f"{self.root}/fingerprints/{number}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path(f"{self.root}/fingerprints"))
+        if not fs.rename(path(pending), path(f"{self.root}/fingerprints/{number}")):
+            raise RuntimeError(f"another refresh of {self.root} ended first")
         return self.read(result.schema)
 
     def read(self, schema: T.StructType | None = None) -> DataFrame:
