@@ -191,16 +191,18 @@ class KeyedLog:
         new files, with hints. Nothing is deleted before the new manifest counts.
         """
         m = self.manifest()
+        if not m["segments"]:
+            return False
         rows = self.log(m)
         chosen = stats.merge_candidates(stats.segment_stats(rows), self.conf.merge.thresholds).select("fileid")
         listed = f"{self.root}/work/{uuid.uuid4().hex}"
         chosen.write.parquet(listed)
         chosen = self.spark.read.parquet(listed)
-        touched, kept = [], []
-        for s in m["segments"]:
-            one = self.spark.read.schema(LOG).parquet(f"{self.root}/segments/{s}")
-            hit = one.join(chosen, "fileid", "left_semi").limit(1).count()
-            (touched if hit else kept).append(s)
+        # One job finds the segments with a chosen file; the driver gets their names.
+        segment = F.regexp_extract(F.col("_metadata.file_path"), "/segments/([0-9a-f]+)/", 1)
+        found = rows.select("fileid", segment.alias("segment")).join(chosen, "fileid", "left_semi").select("segment").distinct()
+        hit = {r["segment"] for r in found.collect()}
+        touched, kept = [s for s in m["segments"] if s in hit], [s for s in m["segments"] if s not in hit]
         if not touched:
             self._fs.delete(self._path(listed), True)
             return False

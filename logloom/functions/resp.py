@@ -187,6 +187,42 @@ def decode_frames(messages: DataFrame, key: str = "frame_id", data: str = "bytes
     return rows.mapInArrow(run, FRAMES)
 
 
+def parse_commands(messages: DataFrame, key: str = "seq", data: str = "bytes") -> DataFrame:
+    """``seq, op, keys, value, error``: the command in each message, or what is wrong with it.
+
+    A message is the bytes of one frame. One that can't be decoded has the decoder's ``error``, a
+    command that isn't right that of ``command_error``; both have no ``op``.
+    """
+    import pyarrow as pa
+
+    rows = messages.select(messages[key].cast("bigint").alias("seq"), messages[data])
+    arrow = pa.schema([("seq", pa.int64()), ("parts", pa.list_(pa.binary())), ("fault", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, message in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts, fault = None, None
+                try:
+                    frames = decode(message or b"")[0]
+                    if frames[0][1] == "array":
+                        parts = [f[3] if f[1] == "bulk" else None for f in frames[1:] if len(f[0]) == 1]
+                except FrameError as e:
+                    fault = str(e)
+                out.append({"seq": i, "parts": parts, "fault": fault})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    parts = F.col("parts")
+    parsed = rows.mapInArrow(run, "seq bigint, parts array<binary>, fault string")
+    parsed = parsed.withColumn("error", F.coalesce("fault", command_error(parts)))
+    right = F.col("error").isNull()
+    op = F.when(right, F.get(parts, F.lit(0)).cast("string"))
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    keys = F.when(right, F.when(op == "DEL", rest).otherwise(F.array(F.get(parts, F.lit(1)))))
+    value = F.when(op == "SET", F.get(parts, F.lit(2)))
+    return parsed.select("seq", op.alias("op"), keys.alias("keys"), value.alias("value"), "error")
+
+
 def command_error(parts: Column) -> Column:
     """What is wrong with a command given as an array of its name and arguments; NULL if nothing is.
 

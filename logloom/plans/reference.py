@@ -243,6 +243,15 @@ def resp_decode_commands(spark: SparkSession, d: str) -> DataFrame:
     return frames.select(F.col("frame_id").alias("seq"), F.get("path", F.lit(0)).alias("place"), F.col("bytes_val").cast("string").alias("text"))
 
 
+def wire_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Messages in, messages out: commands are decoded, checked, run, and their replies encoded."""
+    commands = _commands(spark, d)
+    messages = commands.select("seq", resp.encode_command(_parts(commands)).alias("bytes"))
+    replies = replay.replay(resp.parse_commands(messages).where("error IS NULL").drop("error"))
+    frame = resp.encode_reply(F.col("kind"), F.col("int_val"), F.col("bytes_val"))
+    return replies.select("seq", F.hex(frame).alias("frame_hex"))
+
+
 def cli_render(spark: SparkSession, d: str) -> DataFrame:
     shown = resp.render(F.col("kind"), F.col("int_val"), F.col("bytes_val"))
     return replay.replay(_commands(spark, d)).select("seq", shown.alias("shown"))
@@ -265,7 +274,7 @@ QUERIES = {
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
-        resp_decode, resp_decode_commands, cli_render, backoff_schedule, jitter_bounds,
+        resp_decode, resp_decode_commands, wire_replay, cli_render, backoff_schedule, jitter_bounds,
     )
 }
 
@@ -435,3 +444,4 @@ FROM checked""",
   FROM range(0, 8) AS r(i) WHERE 500 * pow(2, i) <= 64000""",
     "jitter_bounds": "SELECT CAST(18000 - 18000 * 0.3 AS DOUBLE) AS low, CAST(18000 + 18000 * 0.3 AS DOUBLE) AS high",
 }
+ORACLE["wire_replay"] = ORACLE["resp_encode_replies"]

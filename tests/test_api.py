@@ -96,3 +96,41 @@ def test_stream_with_state(spark, tmp_path):
         out = streaming.stateful_replies(one).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
         out.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert plain(spark.read.parquet(str(tmp_path / "out")).collect()) == plain(answers(single, {})[0])
+
+
+def test_merges_run_beside_the_store(spark, tmp_path):
+    import threading
+    import time
+
+    from logloom.streaming.background import merge_regularly
+
+    merge = Merge(check_interval_ms=50, triggers=Triggers(0.3, 10**9), thresholds=Thresholds(0.3, 10**9, 0))
+    store = KeyedLog.open(spark, str(tmp_path / "s"), Storage(merge=merge))
+    store.set(b"k", b"1")
+    store.set(b"k", b"2")
+    stop = threading.Event()
+    thread = merge_regularly(store, stop)
+    for _ in range(300):
+        if store.hints().count():
+            break
+        time.sleep(0.1)
+    stop.set()
+    thread.join(60)
+    assert store.stats().agg(F.sum("dead_keys")).first()[0] == 0 and live(store) == {b"k": b"2"}
+    assert merge_regularly(KeyedLog.open(spark, str(tmp_path / "t"), Storage(merge=Merge(policy="never"))), stop) is None
+
+
+def test_a_lookup_filters_in_the_scan(spark, tmp_path):
+    store = KeyedLog.open(spark, str(tmp_path / "s"))
+    store.set(b"k", b"1")
+    plan = store.snapshot().where(F.col("key") == F.lit(bytearray(b"k")))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key" in plan.replace("equalto", "EqualTo") or "PushedFilters: [IsNotNull(key), " in plan
+
+
+def test_command_line(spark, tmp_path):
+    from logloom.__main__ import main
+
+    at = str(tmp_path / "s")
+    assert [main([at, *a]) for a in (["get", "k"], ["set", "k", "v"], ["get", "k"], ["del", "k", "x"], ["get", "k"])] == [
+        "(nil)", '"OK"', '"v"', "(integer) 1", "(nil)",
+    ]

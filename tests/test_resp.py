@@ -98,6 +98,17 @@ def test_commands_are_checked(spark):
     assert [r[0] for r in df.select(resp.command_error(F.col("p"))).collect()] == [e for _, e in cases]
 
 
+def test_messages_are_parsed(spark):
+    rows = [
+        (1, b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$1\r\n\xff\r\n"), (2, b"*3\r\n$3\r\nDEL\r\n$1\r\na\r\n$0\r\n\r\n"), (3, b"*2\r\n$3\r\nGET\r\n:1\r\n"),
+        (4, b"+GET\r\n"), (5, b"*1\r\n$3"), (6, None), (7, b"*1\r\n$3\r\nget\r\n"), (8, b"*2\r\n$3\r\nGET\r\n*1\r\n$1\r\nk\r\n"),
+    ]
+    got = {r["seq"]: tuple(r)[1:] for r in resp.parse_commands(spark.createDataFrame(rows, "seq int, bytes binary")).collect()}
+    assert got[1] == ("SET", [b"k"], b"\xff", None) and got[2] == ("DEL", [b"a", b""], None, None)
+    assert [got[i][3] for i in range(3, 9)] == ["BadFrame", "BadFrame", "Incomplete", "Incomplete", "BadCommand: get", "BadFrame"]
+    assert all(got[i][:3] == (None, None, None) for i in range(3, 9))
+
+
 def test_replies_are_shown(spark):
     rows = [("simple", None, b"OK"), ("bulk", None, b"hi"), ("bulk", None, b""), ("bulk", None, b'\xff\x00a"\\\n\x01'), ("null", None, None), ("integer", 3, None)]
     df = spark.createDataFrame(rows, "k string, i long, b binary")
