@@ -22,7 +22,11 @@ def rewritten(log: DataFrame, chosen: DataFrame) -> DataFrame:
         .select("fileid", F.coalesce("mark", F.lit(False)).alias("chosen"))
     )
     kept = kept_of(log, flags).select("fileid", "pos", "tombstone")
-    return scan(log).join(kept, ["fileid", "pos"])
+    # Values of other files don't move, and those of repeated rows only once they are known to be kept.
+    own = records(log).join(marked, "fileid", "left_semi")
+    columns = ["fileid", "pos", "len", "tstamp", "key", "value"]
+    copied = scan(own.select(*columns).join(kept.drop("tombstone"), ["fileid", "pos"], "left_semi"))
+    return copied.withColumn("tombstone", F.col("value").isNull())
 
 
 def merge_files(log: DataFrame, chosen: DataFrame, first_fileid: int, target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
@@ -47,7 +51,7 @@ def unmerged(log: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def hints(log: DataFrame) -> DataFrame:
     """The hints of a log: where its live records lie, without their values."""
-    return newest(log).where("value IS NOT NULL").select("fileid", "pos", "len", "tstamp", "key")
+    return newest(log).where("NOT tombstone").select("fileid", "pos", "len", "tstamp", "key")
 
 
 def recovery_index(log: DataFrame, hint: DataFrame) -> DataFrame:

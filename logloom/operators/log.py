@@ -28,23 +28,20 @@ def scan(log: DataFrame) -> DataFrame:
 
 
 def newest(log: DataFrame) -> DataFrame:
-    """The newest record of each key, tombstones too.
+    """``key, value, fileid, pos, len, tstamp, tombstone`` of the newest record of each key.
 
-    ``max_by`` folds the records of a key in each task before the shuffle, so that a hot key
-    moves as one row for each task. A window over the key would gather it in one.
+    Both aggregates fold the records of a key in each task before the shuffle, so that a hot
+    key moves as one row for each task. A window over the key would gather it in one. Values
+    move only if they are asked for.
     """
     at = F.struct("fileid", "pos")
-    return (
-        records(log)
-        .groupBy("key")
-        .agg(F.max_by(F.struct("value", "fileid", "pos", "len", "tstamp"), at).alias("r"))
-        .select("key", "r.*")
-    )
+    last = F.max(F.struct("fileid", "pos", "len", "tstamp", F.col("value").isNull().alias("tombstone"))).alias("r")
+    return records(log).groupBy("key").agg(F.max_by("value", at).alias("value"), last).select("key", "value", "r.*")
 
 
 def snapshot(log: DataFrame) -> DataFrame:
     """``key, value, fileid, pos, len, tstamp`` of each live key. A filter on ``key`` reaches the scan."""
-    return newest(log).where("value IS NOT NULL")
+    return newest(log).where("NOT tombstone").drop("tombstone")
 
 
 def get_batch(requests: DataFrame, snap: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def segment_stats(log: DataFrame) -> DataFrame:
     """
     live = (
         newest(log)
-        .where("value IS NOT NULL")
+        .where("NOT tombstone")
         .groupBy("fileid")
         .agg(F.count("*").alias("live_keys"), F.coalesce(F.sum("len"), F.lit(0)).alias("live_bytes"))
     )
