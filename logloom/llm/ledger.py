@@ -56,9 +56,9 @@ class KeyLedger:
     def first_arrivals(self, batch: DataFrame, order: str) -> DataFrame:
         """``key, first`` of each key of the batch that the ledger lacks: the arrival of rank one.
 
-        ``batch`` has ``key`` and ``order``, which is unique and not NULL. NULL is no key.
+        ``batch`` has ``key`` and ``order``, which is unique. Rows without one of them are left out.
         """
-        ranked = batch.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("first"))
+        ranked = batch.where(F.col("key").isNotNull() & F.col(order).isNotNull()).groupBy("key").agg(F.min(order).alias("first"))
         known = self.keys().select("key", F.lit(True).alias("known")).hint("merge")
         return ranked.join(known, "key", "left").where("known IS NULL").select("key", "first")
 
@@ -68,7 +68,7 @@ class KeyLedger:
         These are all rows with a key but the first arrivals of new keys. They are told apart by
         key and arrival, so that the rows of a hot key spread over all tasks.
         """
-        rows = batch.where("key IS NOT NULL").select("key", order)
+        rows = batch.where(F.col("key").isNotNull() & F.col(order).isNotNull()).select("key", order)
         firsts = new.withColumnRenamed("first", order)
         return rows.join(firsts, [order, "key"], "left_anti")
 
@@ -84,7 +84,8 @@ def seen_before(
 
     Makes the ledger of the histories below ``root``, looks the feed up as one batch, and appends
     its new keys, so that the next batch finds them. Empty tables give no rows. The empty key is
-    a key; rows with a NULL key are left out. Other columns aren't read.
+    a key; rows whose key or arrival is NULL are left out. A row that is there twice arrives once, so
+    neither of the two is seen for the other's sake. Other columns aren't read.
     """
     ledger = KeyLedger(feed.sparkSession, f"{root}/keys", feed.schema["key"].dataType.simpleString(), buckets)
     ledger.start(*histories)
@@ -106,17 +107,39 @@ def wrong_answers(feed: DataFrame, histories: list[DataFrame], found: DataFrame,
     for h in histories:
         k = h.where("key IS NOT NULL").select("key", F.lit(True).alias("old"), F.lit(None).cast("bigint").alias("at")).distinct()
         old = k if old is None else old.unionByName(k)
-    rows = feed.where("key IS NOT NULL").select("key", F.col(order).alias("at"))
+    rows = feed.where(F.col("key").isNotNull() & F.col(order).isNotNull()).select("key", F.col(order).alias("at")).distinct()
     firsts = (
         old.unionByName(rows.select("key", F.lit(False).alias("old"), "at"))
         .groupBy("key")
         .agg(F.max("old").alias("old"), F.min("at").alias("first"))
     )
     truth = rows.join(firsts, "key").select("key", "at", (F.col("old") | (F.col("at") > F.col("first"))).alias("truth"))
-    said = found.select("key", F.col(order).alias("at"), F.lit(True).alias("said"))
+    said = found.select("key", F.col(order).alias("at"), F.lit(True).alias("said")).distinct()
     n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
     both = truth.join(said, ["key", "at"], "full")
     said_so, true = F.coalesce("said", F.lit(False)), F.coalesce("truth", F.lit(False))
     return both.agg(
         F.count("*").alias("n_rows"), n(said_so).alias("n_found"), n(said_so != true).alias("n_wrong")
     ).withColumn("wrong_rate", F.when(F.col("n_rows") > 0, F.col("n_wrong") / F.col("n_rows")).otherwise(F.lit(0.0)))
+
+
+def watch(stream: DataFrame, ledger: KeyLedger, found: str, checkpoint: str, order: str = "feed_seq", **trigger):
+    """Runs a stream of ``key`` and ``order`` through a ledger, batch by batch; returns the streaming query.
+
+    The seen rows of batch ``n`` go to ``found/batch=n``. The new keys of a batch are stored before they are
+    appended, and a batch that is run again after a failure uses those of its first run; so
+    keys that it appended itself don't count as seen.
+    """
+    spark = ledger.spark
+
+    def run(batch: DataFrame, number: int) -> None:
+        new_at = f"{found}/_new/{number}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{new_at}/_SUCCESS")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            ledger.first_arrivals(batch, order).write.mode("overwrite").parquet(new_at)
+        new = spark.read.schema(f"key {batch.schema['key'].dataType.simpleString()}, first bigint").parquet(new_at)
+        ledger.seen(batch, order, new).write.mode("overwrite").parquet(f"{found}/batch={number}")
+        ledger.append(new)
+
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return query.trigger(**trigger).start() if trigger else query.start()

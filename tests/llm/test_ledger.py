@@ -66,8 +66,21 @@ def test_the_ledger_side_is_not_shuffled(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     none, feed = spark.createDataFrame([], "key binary"), spark.createDataFrame([], FEED)
-    one = spark.createDataFrame([(1, b"", "x", None), (2, b"", "x", None), (3, None, "x", None)], FEED)
+    one = spark.createDataFrame([(1, b"", "x", None), (1, b"", "x", None), (2, b"", "x", None), (3, None, "x", None), (None, b"", "x", None)], FEED)
     assert ledger.seen_before(feed, [none], str(tmp_path / "a")).count() == 0
     assert [r["feed_seq"] for r in ledger.seen_before(one, [none], str(tmp_path / "b")).collect()] == [2]
     found = ledger.seen_before(feed, [none], str(tmp_path / "c"))
     assert tuple(ledger.wrong_answers(feed, [none], found).first()) == (0, 0, 0, 0.0)
+
+
+def test_stream(spark, tmp_path):
+    batches = [random_feed(s, 1000 * s) for s in (1, 2)]
+    book = ledger.KeyLedger(spark, str(tmp_path / "l"), buckets=2)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+        stream = spark.readStream.schema(FEED).parquet(str(tmp_path / "in/*"))
+        ledger.watch(stream, book, str(tmp_path / "found"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    got = [r["feed_seq"] for r in spark.read.parquet(str(tmp_path / "found")).collect()]
+    one, known = seen(set(), batches[0])
+    assert sorted(got) == one + seen(known, batches[1])[0]
+    book.close()
