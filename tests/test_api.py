@@ -104,16 +104,15 @@ def test_merges_run_beside_the_store(spark, tmp_path):
 
     from logloom.streaming.background import merge_regularly
 
-    merge = Merge(check_interval_ms=50, triggers=Triggers(0.3, 10**9), thresholds=Thresholds(0.3, 10**9, 0))
+    merge = Merge(check_interval_ms=1500, check_jitter=0.1, triggers=Triggers(0.3, 10**9), thresholds=Thresholds(0.3, 10**9, 0))
     store = KeyedLog.open(spark, str(tmp_path / "s"), Storage(merge=merge))
     store.set(b"k", b"1")
     store.set(b"k", b"2")
     stop = threading.Event()
     thread = merge_regularly(store, stop)
-    for _ in range(300):
-        if store.hints().count():
-            break
-        time.sleep(0.1)
+    began = time.time()
+    while not store.manifest()["hints"] and time.time() < began + 120:
+        time.sleep(0.2)
     stop.set()
     thread.join(60)
     assert store.stats().agg(F.sum("dead_keys")).first()[0] == 0 and live(store) == {b"k": b"2"}
