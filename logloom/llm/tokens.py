@@ -64,7 +64,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     A text that spells a special token is ordinary text. An empty text and NULL have no tokens:
     their ``ids`` is the empty list, never NULL. Each row gives one row, repeated keys and NULL
-    keys too; other columns aren't read. ``path`` names another byte-level BPE file.
+    keys too; other columns aren't read. ``path`` names another byte-level BPE file, of merges or of ranks,
+    that splits texts by the same pattern.
 
     A map over Arrow batches without a shuffle; a very long text is one lane set of its own and
     is never cut anywhere but between pieces that don't affect each other.

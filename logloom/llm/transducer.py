@@ -16,6 +16,7 @@ in Python.
 
 from __future__ import annotations
 
+import base64
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -58,26 +59,57 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The tokens and merges of a byte-level BPE file of the ``tokenizers`` library."""
+    """The tokens and merges of a byte-level BPE file.
+
+    Files of the ``tokenizers`` library list the merges. Rank files give each token a rank, by base64; there
+    two neighbours merge if their joined bytes are a token, lower ranks first, and a token's rank is its id.
+    """
 
     def __init__(self, raw: bytes):
-        model = json.loads(raw)["model"]
+        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.ranks: dict[bytes, int] | None = None
+        if raw.lstrip()[:1] == b"{":
+            self._from_merges(json.loads(raw)["model"])
+        else:
+            self._from_ranks(raw)
+        self.of_byte = {b[0]: i for i, b in self.bytes.items() if len(b) == 1}
+        self._right: dict[int, list[tuple[int, float, float]]] = {}
+        self._left: dict[int, list[tuple[int, float, float]]] = {}
+        self._agree: dict[tuple[int, int], bool] = {}
+        self._whole: dict[int, bool] = {}
+
+    def _from_merges(self, model: dict) -> None:
         letters, vocab = byte_letters(), model["vocab"]
         self.bytes: dict[int, bytes] = {
             i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)
         }
-        self.of_byte = {b[0]: i for i, b in self.bytes.items() if len(b) == 1}
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.merged.setdefault((left, right), (rank, whole))
             self.parts.setdefault(whole, (left, right, rank))
-        self._right: dict[int, list[tuple[int, float, float]]] = {}
-        self._left: dict[int, list[tuple[int, float, float]]] = {}
-        self._agree: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+
+    def _from_ranks(self, raw: bytes) -> None:
+        self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line.strip())}
+        self.bytes = {r: t for t, r in self.ranks.items()}
+        for token, rank in self.ranks.items():
+            at = [token[i : i + 1] for i in range(len(token))]
+            while len(at) > 2:
+                known = [(self.ranks.get(a + b, rank), i) for i, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+                least, i = min(known)
+                if least >= rank:
+                    break
+                at[i : i + 2] = [at[i] + at[i + 1]]
+            if len(at) == 2:
+                self.parts[rank] = (self.ranks[at[0]], self.ranks[at[1]], rank)
+
+    def merge(self, a: int, b: int) -> tuple[int, int] | None:
+        """The rank of the merge of two tokens and what it makes, if there is one."""
+        if self.ranks is None:
+            return self.merged.get((a, b))
+        whole = self.ranks.get(self.bytes[a] + self.bytes[b])
+        return None if whole is None else (whole, whole)
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, float, float]]:
         """The tokens at one end of a token, from itself to a byte: each with the merge that makes it and that which takes it."""
@@ -102,7 +134,7 @@ class Vocabulary:
             for y, made_y, taken_y in self._edge(b, 0, self._left):
                 if made_y >= taken_x or made_x >= taken_y:
                     continue
-                m = self.merged.get((x, y))
+                m = self.merge(x, y)
                 if m and m[0] < before and made_x < m[0] < taken_x and made_y < m[0] <= taken_y:
                     return True
         return False
