@@ -352,26 +352,68 @@ class Transducer:
         slots = np.diff(np.concatenate([[0], ends + lanes_before]))
         return self.out[taken], slots
 
-    def count(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """How many tokens each text has."""
-        outputs, slots = self.run(data, ends)
-        total = np.concatenate([[0], np.cumsum(self.out_len[outputs], dtype=np.int64)])
-        return np.diff(total[np.concatenate([[0], np.cumsum(slots)])])
-
-    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in order, and how many each text has."""
-        outputs, slots = self.run(data, ends)
-        total = np.concatenate([[0], np.cumsum(self.out_len[outputs], dtype=np.int64)])
-        counts = np.diff(total[np.concatenate([[0], np.cumsum(slots)])])
+    def _expand(self, outputs: np.ndarray) -> np.ndarray:
         outputs = outputs[outputs > 0]
         if self._flat is None:
             self._flat = np.array([i for ids in self.out_ids for i in ids], np.int32)
             lens = np.array([len(ids) for ids in self.out_ids])
             self._from = np.cumsum(lens) - lens
         lens = self.out_len[outputs]
-        ends_out = np.cumsum(lens, dtype=np.int64)
-        index = np.repeat(self._from[outputs] - ends_out + lens, lens) + np.arange(ends_out[-1] if len(lens) else 0)
-        return self._flat[index], counts
+        ends = np.cumsum(lens, dtype=np.int64)
+        return self._flat[np.repeat(self._from[outputs] - ends + lens, lens) + np.arange(ends[-1] if len(lens) else 0)]
+
+    def _all(self, data: np.ndarray, ends: np.ndarray, ids: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        found, counts = [np.zeros(0, np.int32)], np.zeros(len(ends), np.int64)
+        cut, text = cut_long(data, ends)
+        for i, j in chunks(np.concatenate([[0], cut])):
+            start = cut[i - 1] if i else 0
+            outputs, slots = self.run(data[start : cut[j - 1]], cut[i:j] - start)
+            total = np.concatenate([[0], np.cumsum(self.out_len[outputs], dtype=np.int64)])
+            np.add.at(counts, text[i:j], np.diff(total[np.concatenate([[0], np.cumsum(slots)])]))
+            if ids:
+                found.append(self._expand(outputs))
+        return found, counts
+
+    def count(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How many tokens each text has."""
+        return self._all(data, ends, False)[1]
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many each text has."""
+        ids, counts = self._all(data, ends, True)
+        return np.concatenate(ids), counts
+
+
+def cut_long(data: np.ndarray, ends: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts of texts end, and the text of each part. Only texts longer than ``size`` have several.
+
+    A text may be cut between an ASCII letter or digit and a blank or line end: a piece always starts there,
+    and nothing on one side bears on the other.
+    """
+    begins = np.concatenate([[0], ends[:-1]])
+    out, text = [], []
+    for n in np.flatnonzero(ends - begins > size).tolist():
+        at = int(begins[n])
+        while ends[n] - at > size:
+            a, b = data[at + size // 2 : ends[n] - 1], data[at + size // 2 + 1 : ends[n]]
+            step = 1 << 16
+            cut = None
+            for i in range(0, len(a), step):
+                x, y = a[i : i + step], b[i : i + step]
+                alnum = ((x >= 48) & (x <= 57)) | ((x | 32) >= 97) & ((x | 32) <= 122)
+                hit = np.flatnonzero(alnum & ((y == 32) | (y == 10) | (y == 13)))
+                if len(hit):
+                    cut = at + size // 2 + 1 + i + int(hit[0])
+                    break
+            if cut is None:
+                break
+            out.append(cut)
+            text.append(n)
+            at = cut
+    cuts = np.concatenate([ends, np.array(out, np.int64)]).astype(np.int64)
+    texts = np.concatenate([np.arange(len(ends)), np.array(text, np.int64)])
+    order = np.lexsort([texts, cuts])
+    return cuts[order], texts[order]
 
 
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -383,23 +425,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def encode_texts(transducer: Transducer, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of texts that lie in ``data`` between ``offsets``."""
-    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for i, j in chunks(offsets):
-        a, b = transducer.encode(data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i])
-        ids.append(a)
-        counts.append(b)
-    return np.concatenate(ids), np.concatenate(counts)
-
-
-def count_texts(transducer: Transducer, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    counts = [np.zeros(0, np.int64)]
-    for i, j in chunks(offsets):
-        counts.append(transducer.count(data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]))
-    return np.concatenate(counts)
-
-
 class StreamDecoder:
     """Ids to text as they come. An incremental UTF-8 state machine holds back the bytes of a
     code point that isn't whole yet; bytes that can't be UTF-8 give U+FFFD."""

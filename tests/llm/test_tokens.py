@@ -20,8 +20,8 @@ EDGES = [
 def run(machine, texts):
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    ids, counts = transducer.encode_texts(machine, np.frombuffer(b"".join(data), np.uint8), offsets)
-    assert transducer.count_texts(machine, np.frombuffer(b"".join(data), np.uint8), offsets).tolist() == counts.tolist()
+    ids, counts = machine.encode(np.frombuffer(b"".join(data), np.uint8), offsets[1:])
+    assert machine.count(np.frombuffer(b"".join(data), np.uint8), offsets[1:]).tolist() == counts.tolist()
     ends = np.cumsum(counts)
     return [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
 
@@ -70,6 +70,18 @@ def test_neighbours_agree_if_the_merges_make_them():
     assert all(v.agree(a, b) == (merged(v.bytes[a] + v.bytes[b]) == [a, b]) for a, b in pairs if v.whole(a) and v.whole(b))
 
 
+def test_long_texts_are_handled_in_parts(monkeypatch):
+    rnd = random.Random(6)
+    words = ["the", " big", "\n", "\n\n", " ", "  ", "00:01:02,345", "été", "'ll", "it's ", "日本", ".", "\r\n", "x1 "]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.choice([0, 5, 900]))) for _ in range(25)] + ["日本" * 400, "", "a b"]
+    monkeypatch.setattr(transducer.cut_long, "__defaults__", (64,))
+    monkeypatch.setattr(transducer.chunks, "__defaults__", (100,))
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    cuts, of = transducer.cut_long(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+    assert len(cuts) > 200 and np.all(np.diff(cuts) >= 0) and np.all(np.diff(of) >= 0) and set(of.tolist()) == set(range(len(texts)))
+    assert run(MACHINE, texts) == public_ids(texts)
+
+
 def test_rank_files():
     import base64
 
