@@ -256,6 +256,24 @@ def command_error(parts: Column) -> Column:
     )
 
 
+def reply_error(op: Column, kind: Column, bytes_val: Column) -> Column:
+    """What is wrong with a reply to a command; NULL if nothing is.
+
+    GET takes ``bulk`` and ``null``, SET only ``simple`` OK, DEL only ``integer``. An ``error`` reply is a fault of the
+    store, no reply at all a lost connection.
+    """
+    right = (
+        F.when(op == "GET", kind.isin("bulk", "null"))
+        .when(op == "SET", (kind == "simple") & (bytes_val == _bytes(b"OK")))
+        .when(op == "DEL", kind == "integer")
+    )
+    return (
+        F.when(kind.isNull(), "ConnectionReset")
+        .when(kind == "error", F.concat(F.lit("Storage: "), F.make_valid_utf8(bytes_val.cast("string"))))
+        .when(~F.coalesce(right, F.lit(False)), "BadFrame")
+    )
+
+
 def render(kind: Column, int_val: Column, bytes_val: Column) -> Column:
     """A reply as a command line shows it: texts in quotes, other bytes as an escaped byte string."""
     digits = F.hex(bytes_val)

@@ -92,6 +92,10 @@ def snapshot_latest(spark: SparkSession, d: str) -> DataFrame:
     return log.snapshot(_log(spark, d)).select(*_h("key", "value"), "fileid", "pos", "len", "tstamp")
 
 
+def replaced_records(spark: SparkSession, d: str) -> DataFrame:
+    return log.replaced(_log(spark, d))
+
+
 def get_batch(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "change_feed").select("feed_seq", "key")
     return log.get_batch(requests, log.snapshot(_log(spark, d))).select("feed_seq", "found", *_h("value"))
@@ -270,7 +274,7 @@ def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, get_batch, set_upsert,
+        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, set_upsert,
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
@@ -383,6 +387,11 @@ WITH RECURSIVE one AS (
 )
 SELECT fileid, pos, segment, segment_pos FROM fold""",
     "snapshot_latest": _LOG + " SELECT hex(key) AS key_hex, hex(value) AS value_hex, fileid, pos, len, tstamp FROM snap",
+    "replaced_records": _LOG
+    + """, old AS (
+  SELECT *, lag(value IS NOT NULL) OVER w AS live, lag(fileid) OVER w AS f, lag(pos) OVER w AS p
+  FROM one WINDOW w AS (PARTITION BY key ORDER BY fileid, pos)
+) SELECT fileid, pos, CASE WHEN live THEN f END AS old_fileid, CASE WHEN live THEN p END AS old_pos FROM old""",
     "get_batch": _LOG
     + """ SELECT f.feed_seq, s.key IS NOT NULL AS found, hex(s.value) AS value_hex
   FROM change_feed f LEFT JOIN snap s ON s.key = f.key""",

@@ -115,3 +115,10 @@ def test_replies_are_shown(spark):
     assert [r[0] for r in df.select(resp.render(F.col("k"), F.col("i"), F.col("b"))).collect()] == [
         '"OK"', '"hi"', '""', 'b"\\xff\\0a\\"\\\\\\n\\x01"', "(nil)", "(integer) 3",
     ]
+
+
+def test_replies_are_checked(spark):
+    cases = [("GET", "bulk", b"v", None), ("GET", "null", None, None), ("GET", "simple", b"OK", "BadFrame"), ("SET", "simple", b"OK", None), ("SET", "simple", b"no", "BadFrame"),
+             ("DEL", "integer", None, None), ("DEL", "null", None, "BadFrame"), ("DEL", "error", b"x", "Storage: x"), ("GET", None, None, "ConnectionReset"), ("PUT", "simple", b"OK", "BadFrame")]
+    df = spark.createDataFrame(cases, "op string, k string, b binary, e string")
+    assert [r[0] for r in df.select(resp.reply_error(F.col("op"), F.col("k"), F.col("b"))).collect()] == [c[3] for c in cases]
