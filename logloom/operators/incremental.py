@@ -102,7 +102,9 @@ class IncrementalTable:
         result = touched.withColumn("_row", F.lit(True))
         # A changed partition that has no rows left gets a row that isn't read, so that it is replaced.
         empty = [
-            F.col("part").alias(part) if f.name == part else F.lit(f.name != "_row" and None).cast(f.dataType).alias(f.name)
+            F.col("part").alias(part)
+            if f.name == part
+            else F.lit(False if f.name == "_row" else None).cast(f.dataType).alias(f.name)
             for f in result.schema.fields
         ]
         (

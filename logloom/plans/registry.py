@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import reference, store
+from logloom.plans import engine, store
 
-MODULES = (reference, store)
+MODULES = (engine, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
