@@ -28,8 +28,8 @@ class Trees:
 
 
 def fit(
-    x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 3, rate: float = 0.08, bins: int = 32, least: int = 6, ridge: float = 2.0,
-    rows: float = 0.6, columns: float = 0.3, robust: float = 0.9, seed: int = 1,
+    x: np.ndarray, y: np.ndarray, rounds: int = 200, depth: int = 4, rate: float = 0.15, bins: int = 32, least: int = 6, ridge: float = 2.0,
+    rows: float = 0.6, columns: float = 0.3, robust: float = 0.95, seed: int = 1,
 ) -> Trees:
     """Trees that lower the squared error of ``y`` round by round, on histograms of each feature.
 
