@@ -3,44 +3,125 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.manifests import Manifests
+
+#: So many runs of one size are merged into one of the next size.
+FAN_IN = 8
+
+
+class LedgerError(ValueError):
+    """The ledger was made with other buckets or other keys."""
+
 
 class KeyLedger:
-    """The set of all keys so far, as a Parquet table hash-partitioned into sorted buckets.
+    """The set of all keys so far, hash-partitioned into buckets on disk, each bucket a few sorted files.
+
+    How many buckets and which type of key a ledger has is written beside its files when it is made, and holds
+    whenever it is opened, whatever the session's settings; asking for others is an error. So keys are
+    always looked for where they are.
 
     A batch is first folded to its distinct keys, each with its first arrival, by an aggregate
-    that combines in each task before the shuffle. These are joined to the ledger by a
-    sort-merge left join; the ledger's side is read by bucket, with no shuffle, however large it
-    is. Keys without a match are new. They are appended as one more sorted file per bucket.
+    that combines in each task before the shuffle. The history is a list of runs, each with one sorted file for each
+    bucket. The batch is shuffled and sorted once and then goes through a sort-merge left join with each run, whose
+    files are streamed as they lie: neither shuffled nor sorted again. Keys without a match are new and
+    become a run of their own. ``FAN_IN`` runs of one size are merged into one, so there are some ``8 * log8(batches)``
+    runs, and each key is written again only as often as that logarithm.
 
     Keys are compared by all their bytes, so there are no wrong answers. A batch that is
     appended twice, as after a failure, changes nothing: the ledger is a set.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key_type: str = "binary", buckets: int | None = None):
-        """Opens the ledger below ``root``, or starts one. ``buckets`` must stay as it was."""
+    def __init__(self, spark: SparkSession, root: str, key_type: str | None = None, buckets: int | None = None):
+        """Opens the ledger below ``root``, or starts one.
+
+        ``key_type`` and ``buckets`` count for a new ledger, by default binary and the session's shuffle
+        partitions; for one that is there they may only say what it has.
+        """
         self.spark, self.root = spark, root.rstrip("/")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"key_ledger_{uuid.uuid4().hex[:12]}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (key {key_type}) USING parquet "
-            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.root}'"
-        )
+        self._manifests = Manifests(spark, f"{self.root}/manifests")
+        self._tables: dict[str, str] = {}
+        number, body = self._manifests.newest()
+        if body is None:
+            made = {
+                "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "key_type": key_type or "binary", "runs": [],
+            }
+            self._manifests.commit(made, number)
+            body = made
+        for name, asked in (("buckets", buckets), ("key_type", key_type)):
+            if asked not in (None, body[name]):
+                raise LedgerError(f"the ledger in {root} has {name} {body[name]}, not {asked}")
+        self.buckets, self.key_type = body["buckets"], body["key_type"]
+
+    def runs(self) -> list[dict]:
+        """``name`` and ``level`` of each run that counts, the largest first."""
+        return sorted(self._manifests.newest()[1]["runs"], key=lambda r: -r["level"])
+
+    def _table(self, name: str) -> str:
+        """The catalog's name of a run; only the catalog's tables can have buckets."""
+        if name not in self._tables:
+            table = f"key_run_{uuid.uuid4().hex[:12]}"
+            self.spark.sql(
+                f"CREATE TABLE {table} (key {self.key_type}) USING parquet "
+                f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.root}/runs/{name}'"
+            )
+            self._tables[name] = table
+        return self._tables[name]
+
+    @contextmanager
+    def _planned(self) -> Iterator[None]:
+        """Settings under which jobs on the ledger are planned: shuffles into as many partitions as there are buckets, and
+        trust in the order within bucket files, which Spark has only where a bucket is one file."""
+        own = {"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+        before = {name: self.spark.conf.get(name, None) for name in own}
+        for name, value in own.items():
+            self.spark.conf.set(name, value)
+        try:
+            yield
+        finally:
+            for name, value in before.items():
+                self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
+
+    def _write(self, keys: DataFrame, shuffled: bool) -> str:
+        name = uuid.uuid4().hex[:12]
+        ready = keys.select("key") if shuffled else keys.select("key").repartition(self.buckets, "key")
+        with self._planned():
+            (
+                ready.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
+                .mode("append").saveAsTable(self._table(name))
+            )
+        return name
 
     def append(self, keys: DataFrame) -> None:
-        """Adds the keys of the column ``key``, which must be distinct and not NULL."""
-        (
-            keys.select("key")
-            .repartition(self.buckets, "key")
-            .write.format("parquet")
-            .bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .mode("append")
-            .saveAsTable(self.name)
-        )
+        """Adds the keys of the column ``key``, which must be distinct and not NULL, then merges runs of one size."""
+        name = self._write(keys, False)
+        number, body = self._manifests.newest()
+        self._manifests.commit(body | {"runs": [*body["runs"], {"name": name, "level": 0}]}, number)
+        self.merge()
+
+    def merge(self) -> None:
+        """Merges runs while ``FAN_IN`` of them have one size. The bucketing carries over: no shuffle."""
+        while True:
+            number, body = self._manifests.newest()
+            by_level: dict[int, list[dict]] = {}
+            for r in body["runs"]:
+                by_level.setdefault(r["level"], []).append(r)
+            full = [level for level, rs in sorted(by_level.items()) if len(rs) >= FAN_IN]
+            if not full:
+                return
+            old = by_level[full[0]]
+            # A batch that came twice may have its keys in two runs. Full joins keep the buckets and the order.
+            both = self.spark.table(self._table(old[0]["name"]))
+            for r in old[1:]:
+                both = both.join(self.spark.table(self._table(r["name"])).hint("merge"), "key", "full")
+            name = self._write(both, True)
+            kept = [r for r in body["runs"] if r not in old]
+            self._manifests.commit(body | {"runs": [*kept, {"name": name, "level": full[0] + 1}]}, number)
 
     def start(self, *histories: DataFrame) -> None:
         """Adds the keys of tables with a column ``key``; NULL is no key."""
@@ -51,16 +132,31 @@ class KeyLedger:
         self.append(union.distinct())
 
     def keys(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """All keys, each once for each run that has it."""
+        all_keys = self.spark.createDataFrame([], f"key {self.key_type}")
+        for r in self.runs():
+            all_keys = all_keys.unionByName(self.spark.table(self._table(r["name"])))
+        return all_keys
 
     def first_arrivals(self, batch: DataFrame, order: str) -> DataFrame:
         """``key, first`` of each key of the batch that the ledger lacks: the arrival of rank one.
 
         ``batch`` has ``key`` and ``order``, which is unique. Rows without one of them are left out.
         """
-        ranked = batch.where(F.col("key").isNotNull() & F.col(order).isNotNull()).groupBy("key").agg(F.min(order).alias("first"))
-        known = self.keys().select("key", F.lit(True).alias("known")).hint("merge")
-        return ranked.join(known, "key", "left").where("known IS NULL").select("key", "first")
+        ranked = (
+            batch.where(F.col("key").isNotNull() & F.col(order).isNotNull())
+            .groupBy("key").agg(F.min(order).alias("first"))
+        )
+        for r in self.runs():
+            known = self.spark.table(self._table(r["name"])).select("key", F.lit(True).alias("known")).hint("merge")
+            ranked = ranked.join(known, "key", "left").where("known IS NULL").select("key", "first")
+        return ranked
+
+    def store_first_arrivals(self, batch: DataFrame, order: str, folder: str) -> DataFrame:
+        """The same written to a folder, with the order of the ledger's files in use; returns what was written."""
+        with self._planned():
+            self.first_arrivals(batch, order).write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(f"key {self.key_type}, first {batch.schema[order].dataType.simpleString()}").parquet(folder)
 
     def seen(self, batch: DataFrame, order: str, new: DataFrame) -> DataFrame:
         """The rows of the batch, as ``key`` and ``order``, whose key occurred before.
@@ -72,9 +168,20 @@ class KeyLedger:
         firsts = new.withColumnRenamed("first", order)
         return rows.join(firsts, [order, "key"], "left_anti")
 
+    def vacuum(self) -> None:
+        """Deletes the files of runs that were merged or never counted. Nobody else may use the ledger meanwhile."""
+        fs, path = self._manifests.fs, self._manifests._path
+        counts = {r["name"] for r in self.runs()}
+        folder = path(f"{self.root}/runs")
+        for s in fs.listStatus(folder) if fs.exists(folder) else []:
+            if s.getPath().getName() not in counts:
+                fs.delete(s.getPath(), True)
+
     def close(self) -> None:
-        """Forgets the table's name; the ledger's files stay."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Forgets the catalog's names; the ledger's files stay."""
+        for table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables = {}
 
 
 def seen_before(
@@ -89,14 +196,40 @@ def seen_before(
     """
     ledger = KeyLedger(feed.sparkSession, f"{root}/keys", feed.schema["key"].dataType.simpleString(), buckets)
     ledger.start(*histories)
-    new_root = f"{root}/new"
-    ledger.first_arrivals(feed, order).write.parquet(new_root)
-    new = feed.sparkSession.read.parquet(new_root)
+    new = ledger.store_first_arrivals(feed, order, f"{root}/new")
     ledger.append(new)
     ledger.close()
     return ledger.seen(feed, order, new)
 
 
+def seen_in_batches(
+    batches: list[DataFrame], histories: list[DataFrame], root: str, order: str = "feed_seq", sessions: list[int] | None = None
+) -> DataFrame:
+    """As ``seen_before``, for a feed that comes as several batches, each after all before it.
+
+    The ledger is opened anew for each batch, as by jobs on different days. ``sessions``: the shuffle partitions that the
+    session has at each of them; they make no difference.
+    """
+    spark, found = batches[0].sparkSession, None
+    kind = batches[0].schema["key"].dataType.simpleString()
+    first = KeyLedger(spark, f"{root}/keys", kind)
+    first.start(*histories)
+    first.close()
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, batch in enumerate(batches):
+        spark.conf.set("spark.sql.shuffle.partitions", str(sessions[n]) if sessions else setting)
+        try:
+            ledger = KeyLedger(spark, f"{root}/keys")
+            new = ledger.store_first_arrivals(batch, order, f"{root}/new/{n}")
+            ledger.append(new)
+            ledger.close()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", setting)
+        seen = ledger.seen(batch, order, new)
+        found = seen if found is None else found.unionByName(seen)
+    return found
+
+
 def wrong_answers(feed: DataFrame, histories: list[DataFrame], found: DataFrame, order: str = "feed_seq") -> DataFrame:
     """One row: ``n_rows`` with a key, ``n_found``, ``n_wrong`` of them and ``wrong_rate``.
 
@@ -136,8 +269,8 @@ def watch(stream: DataFrame, ledger: KeyLedger, found: str, checkpoint: str, ord
         new_at = f"{found}/_new/{number}"
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{new_at}/_SUCCESS")
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            ledger.first_arrivals(batch, order).write.mode("overwrite").parquet(new_at)
-        new = spark.read.schema(f"key {batch.schema['key'].dataType.simpleString()}, first bigint").parquet(new_at)
+            ledger.store_first_arrivals(batch, order, new_at)
+        new = spark.read.schema(f"key {ledger.key_type}, first bigint").parquet(new_at)
         ledger.seen(batch, order, new).write.mode("overwrite").parquet(f"{found}/batch={number}")
         ledger.append(new)
 

@@ -10,10 +10,14 @@ from logloom.session import new_folder
 from logloom.sources.tables import table
 
 
-def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], str]:
     feed = table(spark, d, "change_feed").select("feed_seq", "key")
-    histories = [table(spark, d, name).select("key") for name in ("log_entries", "hint_entries")]
-    return feed, histories, ledger.seen_before(feed, histories, new_folder(spark, "ledger"))
+    return feed, [table(spark, d, name).select("key") for name in ("log_entries", "hint_entries")], new_folder(spark, "ledger")
+
+
+def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    feed, histories, root = _tables(spark, d)
+    return feed, histories, ledger.seen_before(feed, histories, root)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +28,15 @@ def p1_error(spark: SparkSession, d: str) -> DataFrame:
     return ledger.wrong_answers(*_seen(spark, d))
 
 
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The feed in four batches, by arrival; the ledger is opened anew for each, under other numbers of shuffle partitions."""
+    feed, histories, _ = _tables(spark, d)
+    low, high = feed.agg(F.min("feed_seq"), F.max("feed_seq")).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // 4))
+    part = F.floor((F.col("feed_seq") - F.lit(low or 0)) / F.lit(step))
+    return ledger.seen_in_batches([feed.where(part == n) for n in range(4)], histories, new_folder(spark, "ledger"), sessions=[5, 16, 3, 8]).select("feed_seq")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -80,7 +93,7 @@ def p8_cv(spark: SparkSession, d: str) -> DataFrame:
     return reading.scores(spark, _model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error, p6_ids, p6_roundtrip, p7_pack, p7_use, p8_found, p8_levels, p8_cv)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p1_error, p6_ids, p6_roundtrip, p7_pack, p7_use, p8_found, p8_levels, p8_cv)}
 
 _P1 = """
 WITH old AS (SELECT key FROM log_entries UNION SELECT key FROM hint_entries),
@@ -93,6 +106,7 @@ ranked AS (
 
 ORACLE = {
     "p1_found": _P1 + "SELECT feed_seq FROM ranked WHERE old OR n > 1",
+    "p1_batches": _P1 + "SELECT feed_seq FROM ranked WHERE old OR n > 1",
     "p1_error": _P1
     + """SELECT count(*) AS n_rows, count(*) FILTER (WHERE old OR n > 1) AS n_found,
   CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate FROM ranked""",
