@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Files whose records share a partition of the stored result.
-FILES_PER_PART = 1024
+from logloom.manifests import Manifests
 
+#: About so many ranges of file ids have fingerprints of their own.
+PARTS = 1024
+#: So many stored sets of read records are rewritten as one.
+MOST_SETS = 16
 
-def fingerprints(rows: DataFrame, part: str, columns: list[str], when: Column | None = None) -> DataFrame:
-    """``part, n, high, low`` of each partition: its row count and sums over its row hashes.
+PRINTS = "part bigint, n bigint, high bigint, mid bigint, low bigint"
+SUMS = ("n", "high", "mid", "low")
 
-    The sums don't depend on the order of rows, and rows can be added to them or taken away.
-    A 64-bit hash is summed by halves, which holds for 2^31 rows of a partition. ``when``
-    leaves out rows but no partition. NULL is a value like any other.
+
+def row_hash_sums(columns: list[str]) -> list[Column]:
+    """``n, high, mid, low``: the count of rows and the sums of three pieces of a 64-bit hash of each row.
+
+    The sums don't depend on the order of rows, and those of two sets of rows add up. A piece has at most 22 bits, so
+    they hold for 2^41 rows. NULL is a value like any other.
     """
     h = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
-    keep = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    zero = F.lit(0).cast("bigint")
-    return (
-        rows.select(F.col(part).alias("part"), h.alias("h"), keep.alias("keep"))
-        .groupBy("part")
-        .agg(
-            F.count_if("keep").alias("n"),
-            F.sum(F.when(F.col("keep"), F.shiftrightunsigned("h", 32)).otherwise(zero)).alias("high"),
-            F.sum(F.when(F.col("keep"), F.col("h").bitwiseAND(0xFFFFFFFF)).otherwise(zero)).alias("low"),
-        )
-    )
+    pieces = (F.shiftrightunsigned(h, 43), F.shiftrightunsigned(h, 21).bitwiseAND((1 << 22) - 1), h.bitwiseAND((1 << 21) - 1))
+    return [F.count("*").alias("n"), *(F.sum(p).alias(name) for p, name in zip(pieces, SUMS[1:], strict=True))]
+
+
+def fingerprints(rows: DataFrame, part: str, columns: list[str]) -> DataFrame:
+    """``part, n, high, mid, low`` of each partition: its row count and sums over its row hashes."""
+    return rows.select(F.col(part).alias("part"), *[c for c in columns if c != "part"]).groupBy("part").agg(*row_hash_sums(columns))
+
+
+def added_up(prints: DataFrame) -> DataFrame:
+    """Fingerprints of the same partition, added up."""
+    return prints.groupBy("part").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 def changed_parts(now: DataFrame, before: DataFrame) -> DataFrame:
     """``part`` of each partition that is new, gone or has other fingerprints than before."""
     a, b = now.alias("a"), before.alias("b")
-    same = " AND ".join(f"a.{c} <=> b.{c}" for c in ("n", "high", "low"))
+    same = " AND ".join(f"a.{c} <=> b.{c}" for c in SUMS)
     return a.join(b, F.expr("a.part <=> b.part"), "full").where(f"NOT ({same})").select(
         F.coalesce("a.part", "b.part").alias("part")
     )
@@ -55,72 +63,64 @@ class IncrementalTable:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _generations(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/fingerprints")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if name.isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(name))
-        return sorted(done)
+        self._manifests = Manifests(spark, f"{self.root}/manifests")
 
     def before(self) -> DataFrame:
         """The fingerprints of the last refresh that ended well; no rows before the first."""
-        done = self._generations()
-        schema = "part bigint, n bigint, high bigint, low bigint"
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/fingerprints/{done[-1]}")
-
-    def refresh(
-        self,
-        source: DataFrame,
-        part: str,
-        columns: list[str],
-        compute: Callable[[DataFrame], DataFrame],
-        before: DataFrame | None = None,
-    ) -> DataFrame:
-        """Brings the stored result up to date and returns it.
+        body = self._manifests.newest()[1]
+        if body is None:
+            return self.spark.createDataFrame([], PRINTS)
+        return self.spark.read.schema(PRINTS).parquet(f"{self.root}/fingerprints/{body['fingerprints']}")
 
-        ``part``: a column of type bigint of ``source``; NULL is a partition too.
-        ``columns``: what the fingerprints cover.
-        ``compute``: makes the result, with the column ``part``, from the rows of the changed
-        partitions; each partition's result must follow from its own rows.
-        ``before``: fingerprints to compare with instead of those of the last refresh.
-        """
-        number = (self._generations() or [0])[-1] + 1
-        pending = f"{self.root}/pending/{number}"
-        fingerprints(source, part, columns).write.mode("overwrite").parquet(pending)
-        now = self.spark.read.schema("part bigint, n bigint, high bigint, low bigint").parquet(pending)
-        changed = changed_parts(now, self.before() if before is None else before)
-        these = changed.withColumnRenamed("part", "_changed_part")
-        touched = compute(source.join(these, F.expr(f"`{part}` <=> _changed_part"), "left_semi"))
-        result = touched.withColumn("_row", F.lit(True))
+    def take(self, source: DataFrame, part: str, columns: list[str]) -> str:
+        """Stores fingerprints of the source and returns their name; they don't count yet."""
+        name = uuid.uuid4().hex[:12]
+        fingerprints(source, part, columns).write.parquet(f"{self.root}/fingerprints/{name}")
+        return name
+
+    def changed(self, name: str) -> DataFrame:
+        """``part`` of each partition whose stored fingerprints of this name aren't those of the last refresh."""
+        return changed_parts(self.spark.read.schema(PRINTS).parquet(f"{self.root}/fingerprints/{name}"), self.before())
+
+    def replace(self, result: DataFrame, changed: DataFrame, part: str) -> None:
+        """Replaces the changed partitions by the rows of ``result``, which has no others."""
+        marked = result.withColumn("_row", F.lit(True))
         # A changed partition that has no rows left gets a row that isn't read, so that it is replaced.
         empty = [
             F.col("part").alias(part)
             if f.name == part
             else F.lit(False if f.name == "_row" else None).cast(f.dataType).alias(f.name)
-            for f in result.schema.fields
+            for f in marked.schema.fields
         ]
         (
-            result.unionByName(changed.select(*empty))
+            marked.unionByName(changed.select(*empty))
             .hint("rebalance", part)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(part)
             .parquet(f"{self.root}/rows")
         )
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path(f"{self.root}/fingerprints"))
-        if not fs.rename(path(pending), path(f"{self.root}/fingerprints/{number}")):
-            raise RuntimeError(f"another refresh of {self.root} ended first")
-        return self.read(result.schema)
+
+    def commit(self, name: str, **more) -> None:
+        """Makes the fingerprints of this name those of the last refresh."""
+        number, body = self._manifests.newest()
+        self._manifests.commit((body or {}) | {"fingerprints": name} | more, number)
+
+    def refresh(self, source: DataFrame, part: str, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Brings the stored result up to date and returns it.
+
+        ``part``: a column of type bigint of ``source``; NULL is a partition too.
+        ``columns``: what the fingerprints cover.
+        ``compute``: makes the result, with the column ``part``, from the rows of the changed
+        partitions; each partition's result must follow from its own rows.
+        """
+        name = self.take(source, part, columns)
+        changed = self.changed(name)
+        these = changed.withColumnRenamed("part", "_changed_part")
+        result = compute(source.join(these, F.expr(f"`{part}` <=> _changed_part"), "left_semi"))
+        self.replace(result, changed, part)
+        self.commit(name)
+        return self.read(result.withColumn("_row", F.lit(True)).schema)
 
     def read(self, schema: T.StructType | None = None) -> DataFrame:
         """The stored rows. Without ``schema``, with ``_row`` as a boolean, some row must have been stored."""
@@ -154,43 +154,149 @@ def read_so_far(marks: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def unread_records(
-    log: DataFrame, marks: DataFrame, ledger: DataFrame, root: str, files_per_part: int = FILES_PER_PART
-) -> DataFrame:
-    """``key, tstamp, fileid, pos`` of each record that no successful run has read.
+def _ranges(parts: list[int], width: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of file ids that cover some partitions: at most ``most``, so with the narrowest gaps filled."""
+    ordered = sorted(parts)
+    gaps = sorted(range(1, len(ordered)), key=lambda i: ordered[i - 1] - ordered[i])[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if ordered[i] > ordered[i - 1] + 1), len(ordered)]
+    return [(ordered[i] * width, (ordered[j - 1] + 1) * width - 1) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
 
-    A record is a pair of ``key`` and ``tstamp``, NULL being a value like others. It has been read
-    if any of its positions was; else it is returned once, with its lowest position. Rows
-    without ``fileid`` or ``pos`` have no position and are left out.
 
-    The partitions are ranges of file ids. What the last successful run saw of each, by its
-    fingerprint, is held against what is there now; only partitions that differ are computed
-    and stored below ``root``. A record may lie in several partitions, so the stored rows are
-    made one for each record, and held against what was read, by one aggregate whose states
-    are folded before the shuffle.
+class UnreadRecords:
+    """Brings out, run by run, the records of a growing log that no earlier run has brought out.
+
+    A record is a pair of ``key`` and ``tstamp``, NULL being a value like others; merges copy records into other files. Rows
+    without ``fileid`` or ``pos`` have no position and are left out. What is stored below ``root`` between runs:
+
+    * the fingerprints of each partition of the log, as the last run that counts saw it. Partitions are ranges of file
+      ids, about ``parts`` of them: when there are more than twice as many, each two become one, and their fingerprints add up;
+    * the records read so far, as the sets that each run brought out.
+
+    A run takes fingerprints of the log as it is (one aggregate, a row for each partition is shuffled), and only partitions
+    that differ from the stored ones are read: their ranges of file ids, of which there are no more than partitions, are
+    filters of the scan. The rows of a changed partition are stored, each partition replaced as a whole by dynamic
+    partition overwrite. What is in them is made one row for each record and held against the records read so far.
+
+    The new records, the new fingerprints and what was read count together, by one manifest, or not at all. A run that fails before
+    changes nothing that counts, and the next one brings the same records out again. Of two runs at once the later fails.
     """
-    spark = log.sparkSession
-    rows = (
-        log.where("fileid IS NOT NULL AND pos IS NOT NULL")
-        .select("fileid", "pos", "key", "tstamp")
-        .join(read_so_far(marks, ledger), "fileid", "left")
-        .withColumn("seen", F.coalesce(F.col("pos") <= F.col("upto"), F.lit(False)))
-        .drop("upto")
-        .withColumn("part", F.floor(F.col("fileid") / F.lit(files_per_part)).cast("bigint"))
-    )
-    columns = ["fileid", "pos", "key", "tstamp"]
-    store = IncrementalTable(spark, root)
-    pending = store.refresh(
-        rows,
-        "part",
-        columns,
-        lambda changed: changed.where("NOT seen").select("part", *columns),
-        before=fingerprints(rows, "part", columns, when=F.col("seen")),
-    )
-    both = pending.select(*columns, F.lit(False).alias("seen")).unionByName(rows.where("seen").select(*columns, "seen"))
-    return (
-        both.groupBy("key", "tstamp")
-        .agg(F.max("seen").alias("seen"), F.min(F.struct("fileid", "pos")).alias("at"))
-        .where("NOT seen")
-        .select("key", "tstamp", "at.*")
-    )
+
+    COLUMNS = ["fileid", "pos", "key", "tstamp"]
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+        self._manifests = Manifests(spark, f"{self.root}/manifests")
+
+    def _rows(self, log: DataFrame) -> DataFrame:
+        return log.where("fileid IS NOT NULL AND pos IS NOT NULL").select(*self.COLUMNS)
+
+    def _part(self, width: int) -> Column:
+        return F.floor(F.col("fileid") / F.lit(width)).cast("bigint")
+
+    def _width(self, rows: DataFrame, now: int | None = None) -> int:
+        """Files in a partition, so that there are at most ``parts`` of them, or twice as many after some time."""
+        low, high = rows.agg(F.min("fileid"), F.max("fileid")).first()
+        span = 1 if low is None else high - low + 1
+        if now is None:
+            return max(1, -(-span // self.parts))
+        while span > 2 * now * self.parts:
+            now *= 2
+        return now
+
+    def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{n}" for n in names])
+
+    def _types(self, rows: DataFrame) -> str:
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        return ", ".join(f"{c} {kinds[c]}" for c in ("key", "tstamp", "fileid", "pos"))
+
+    def _new(self) -> str:
+        return uuid.uuid4().hex[:12]
+
+    def adopt(self, log: DataFrame, marks: DataFrame, ledger: DataFrame) -> None:
+        """Begins with what other jobs have read: by ``marks`` how far, by ``ledger`` which of them succeeded.
+
+        The rows that they read are read once. Their sets of records carry sums of row hashes, from which the fingerprints follow.
+        """
+        number, body = self._manifests.newest()
+        if body is not None:
+            raise ValueError(f"{self.root} has its own runs already")
+        rows = self._rows(log)
+        width = self._width(rows)
+        seen = rows.join(read_so_far(marks, ledger), "fileid").where("pos <= upto").withColumn("part", self._part(width))
+        name, prints = self._new(), self._new()
+        sums = seen.groupBy("part", "key", "tstamp").agg(*row_hash_sums(self.COLUMNS))
+        sums.write.parquet(f"{self.root}/read/{name}")
+        added_up(self._read("read", [name], PRINTS)).write.parquet(f"{self.root}/fingerprints/{prints}")
+        self._manifests.commit({"width": width, "fingerprints": prints, "read": [name], "run": 0}, number)
+
+    def prepare(self, log: DataFrame) -> tuple[DataFrame, dict, int]:
+        """A run that doesn't count yet: its new records, the manifest that would make it count, and its number."""
+        rows = self._rows(log)
+        number, body = self._manifests.newest()
+        width = self._width(rows, body["width"] if body else None)
+        before = self._read("fingerprints", [body["fingerprints"]] if body else [], PRINTS)
+        if body and width != body["width"]:
+            before = added_up(before.withColumn("part", F.floor(F.col("part") / F.lit(width // body["width"])).cast("bigint")))
+        own, out = self._new(), self._new()
+        parted = rows.withColumn("part", self._part(width))
+        fingerprints(parted, "part", self.COLUMNS).write.parquet(f"{self.root}/fingerprints/{own}")
+        now = self._read("fingerprints", [own], PRINTS)
+        changed = changed_parts(now, before)
+        # No more than the partitions, whose number is bounded by the width.
+        parts = [r["part"] for r in changed.collect()]
+        fresh = self._changed_rows(parted, parts, width)
+        known = body["read"] if body else []
+        new = self._unknown(fresh, self._read("read", known, self._types(rows)), len(known))
+        new.write.parquet(f"{self.root}/read/{out}")
+        made = {"width": width, "fingerprints": own, "read": [*known, out], "run": (body or {"run": 0})["run"] + 1, "changed": len(parts)}
+        return self._read("read", [out], self._types(rows)), made, number
+
+    def _changed_rows(self, parted: DataFrame, parts: list[int], width: int) -> DataFrame:
+        """The rows of the changed partitions, stored and read again. Ranges of file ids let the scan skip what lies between."""
+        near = F.lit(False)
+        for low, high in _ranges(parts, width):
+            near = near | F.col("fileid").between(low, high)
+        table = IncrementalTable(self.spark, f"{self.root}/parts-{width}")
+        listed = self.spark.createDataFrame([(p,) for p in parts], "part bigint")
+        table.replace(parted.where(near & F.col("part").isin(parts)), listed, "part")
+        stored = table.read(parted.withColumn("_row", F.lit(True)).schema)
+        return stored.where(F.col("part").isin(parts)) if parts else stored.where("false")
+
+    def _unknown(self, fresh: DataFrame, known: DataFrame, sets: int) -> DataFrame:
+        """``key, tstamp, fileid, pos`` of each record of ``fresh`` that isn't known, at its lowest position."""
+        records = fresh.groupBy("key", "tstamp").agg(F.min(F.struct("fileid", "pos")).alias("at")).select("key", "tstamp", "at.*")
+        same = F.expr("a.key <=> b.key AND a.tstamp <=> b.tstamp")
+        return records.alias("a").join(known.select("key", "tstamp").alias("b"), same, "left_anti")
+
+    def commit(self, made: dict, number: int) -> None:
+        """Makes a prepared run count."""
+        if len(made["read"]) > MOST_SETS:
+            name = self._new()
+            one = self.spark.read.parquet(f"{self.root}/read/{made['read'][-1]}").select("key", "tstamp").schema
+            self.spark.read.schema(one).parquet(*[f"{self.root}/read/{n}" for n in made["read"]]).distinct().write.parquet(f"{self.root}/read/{name}")
+            made = made | {"read": [name]}
+        self._manifests.commit(made, number)
+
+    def run(self, log: DataFrame) -> DataFrame:
+        """The new records of this run, ``key, tstamp, fileid, pos``: each once, with its lowest position."""
+        records, made, number = self.prepare(log)
+        self.commit(made, number)
+        return records
+
+    def last_run(self) -> dict:
+        """``run``, ``width`` and how many partitions were ``changed`` in the last run that counts."""
+        return self._manifests.newest()[1] or {}
+
+
+def unread_records(log: DataFrame, marks: DataFrame, ledger: DataFrame, root: str, parts: int = PARTS) -> DataFrame:
+    """``key, tstamp, fileid, pos`` of each record that no successful run has read.
+
+    A record has been read if any of its positions was; else it is returned once, with its lowest position. Takes over what
+    the runs in ``ledger`` have read, below ``root``, and makes the next run.
+    """
+    reader = UnreadRecords(log.sparkSession, root, parts)
+    reader.adopt(log, marks, ledger)
+    return reader.run(log)

@@ -33,6 +33,17 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return _unread(spark, d).select(F.hex("key").alias("key_hex"), "tstamp", "fileid", "pos")
 
 
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, between which the newer half of the log's files arrives, and one that fails: what they bring out together."""
+    rows, marks, ledger = (table(spark, d, name) for name in ("log_entries", "run_marks", "run_ledger"))
+    reader = incremental.UnreadRecords(spark, new_folder(spark, "unread"))
+    reader.adopt(rows, marks, ledger)
+    low, high = rows.agg(F.min("fileid"), F.max("fileid")).first()
+    first = reader.run(rows.where(F.col("fileid") <= ((low or 0) + (high or 0)) // 2))
+    reader.prepare(rows)  # never committed, as if it failed at its end
+    return first.unionByName(reader.run(rows)).select("fileid", "pos")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     kept = consolidate.kept_records(table(spark, d, "log_entries"))
     return consolidate.merge_runs(kept).select("fileid", "pos")
@@ -61,7 +72,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.select(F.hex("key").alias("key_hex"), "records", "bytes", "fileid", "pos", "tstamp")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_store, p3_found, p3_records, p4_found, p4_files, p4_small, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_store, p3_found, p3_records, p3_runs, p4_found, p4_files, p4_small, p5_found, p5_totals)}
 
 _P2 = """
 WITH one AS (
@@ -104,6 +115,7 @@ ORACLE = {
     "p2_found": _P2.format("change_no"),
     "p2_store": _P2.format("hex(value) AS value_hex, tstamp, change_no"),
     "p3_found": _P3.format("r.fileid, r.pos"),
+    "p3_runs": _P3.format("r.fileid, r.pos"),
     "p3_records": _P3.format("hex(r.key) AS key_hex, r.tstamp, r.fileid, r.pos"),
     "p4_found": _P4
     + """, ranked AS (

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from logloom.manifests import ConflictError
 from logloom.operators import changes, consolidate, heavy, incremental
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def test_unread_records(spark, tmp_path, seed):
     log = spark.createDataFrame(rows, LOG_DDL).withColumn("seen", F.lit("clash")).withColumn("part", F.lit(1))
     runs = spark.createDataFrame(ledger, "line_no bigint, run_id bigint, attempt bigint, status string")
     marked = spark.createDataFrame(marks, "run_id bigint, attempt bigint, fileid bigint, upto_pos bigint")
-    got = incremental.unread_records(log, marked, runs, str(tmp_path / "store"), files_per_part=4)
+    got = incremental.unread_records(log, marked, runs, str(tmp_path / "store"), parts=3)
     assert sorted((r["fileid"], r["pos"]) for r in got.collect()) == unread(rows, ledger, marks)
 
 
@@ -106,6 +107,51 @@ def test_unread_records_without_rows_or_runs(spark, tmp_path):
     assert [tuple(r)[2:] for r in incremental.unread_records(one, marked, runs, str(tmp_path / "b")).collect()] == [(1, 0)]
 
 
+def brought_out(rows):
+    return sorted((r["fileid"], r["pos"]) for r in rows.collect())
+
+
+def test_runs_bring_out_each_record_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MOST_SETS", 2)
+    rows = random_log(7, files=30, most=6)
+    files = sorted({r[0] for r in rows})
+    reader = incremental.UnreadRecords(spark, str(tmp_path / "s"), parts=4)
+    delivered = {}
+    for until in (6, 6, 14, 22, 30):
+        have = [r for r in rows if r[0] in files[:until]]
+        if until == 14:
+            # As merges do: a record is copied into a newer file, and the older file is gone.
+            have = [r for r in have if r[0] != files[0]] + [(files[13], 10_000 + i, *r[2:]) for i, r in enumerate(rows) if r[0] == files[0]]
+        log = spark.createDataFrame(have, LOG_DDL)
+        lost, _, _ = reader.prepare(log)
+        new = reader.run(log)
+        assert brought_out(new) == brought_out(lost)
+        for r in new.collect():
+            assert (bytes(r["key"]), r["tstamp"]) not in delivered
+            delivered[bytes(r["key"]), r["tstamp"]] = (r["fileid"], r["pos"])
+        if until == 6 and reader.last_run()["run"] == 2:
+            assert reader.last_run()["changed"] == 0 and new.count() == 0
+    lowest = {}
+    for r in in_order(rows):
+        lowest.setdefault((r[4], r[3]), r[:2])
+    assert delivered == lowest
+    # Partitions have become wider, and still only what changed is read.
+    assert reader.last_run()["width"] * 8 >= files[-1] - files[6]
+    again = spark.createDataFrame([*rows, (files[3], 9_999, 1, 77, b"late", None)], LOG_DDL)
+    assert brought_out(reader.run(again)) == [(files[3], 9_999)] and reader.last_run()["changed"] == 1
+
+
+def test_of_two_runs_at_once_one_fails(spark, tmp_path):
+    log = spark.createDataFrame(random_log(1), LOG_DDL)
+    a, b = (incremental.UnreadRecords(spark, str(tmp_path / "s")) for _ in range(2))
+    _, made, number = a.prepare(log)
+    b.run(log)
+    with pytest.raises(ConflictError):
+        a.commit(made, number)
+    with pytest.raises(ValueError, match="own runs"):
+        a.adopt(log, log, log)
+
+
 def test_only_changed_partitions_are_computed(spark, tmp_path):
     table = incremental.IncrementalTable(spark, str(tmp_path / "t"))
     given = []
