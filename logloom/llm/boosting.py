@@ -93,11 +93,12 @@ class Line:
 
 
 def calibrate(pred: np.ndarray, y: np.ndarray, low: float, high: float) -> Line:
-    """The line by which held-out predictions come nearest to the labels; that of no change if they don't tell."""
-    spread = float(np.var(pred)) if len(pred) > 1 else 0.0
-    slope = float(np.mean((pred - pred.mean()) * (y - y.mean()))) / spread if spread > 1e-6 else 1.0
-    if not 0.5 <= slope <= 2.0:
-        slope = 1.0
+    """The rising line by which held-out predictions come nearest to the labels.
+
+    Predictions that don't differ, or that fall as labels rise, tell nothing: then the nearest such line is the labels' mean.
+    """
+    spread = float(np.var(pred)) if len(pred) else 0.0
+    slope = max(0.0, float(np.mean((pred - pred.mean()) * (y - y.mean()))) / spread) if spread > 1e-12 else 0.0
     return Line(float(y.mean() - slope * pred.mean()) if len(y) else 0.0, slope, low, high)
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 #: Lengths are counted in steps of so many tokens, rounded up.
-GRAIN = 8
-#: A combination of at most so many items may fall short of the capacity by so many steps.
-DEPTH, WINDOW = 3, 0
+GRAIN = 4
+#: A combination has at most so many items.
+DEPTH = 3
+#: It may fall short of the capacity by so many steps: by none at first, by more for the items that are then left.
+WINDOWS = (0, 2, 8)
 
 
 @dataclass
@@ -32,7 +34,7 @@ class Plan:
     containers: int
 
 
-def combinations(bins: np.ndarray, full: int, depth: int = DEPTH, window: int = WINDOW) -> np.ndarray:
+def combinations(bins: np.ndarray, full: int, depth: int = DEPTH, window: int = WINDOWS[0]) -> np.ndarray:
     """Rising tuples of up to ``depth`` of the bins whose sum fills the last ``window`` steps of ``full``; unused places are 0."""
     have = np.zeros(full + 1, bool)
     have[bins[(bins > 0) & (bins <= full)]] = True
@@ -134,27 +136,28 @@ def greedy(counts: np.ndarray, full: int) -> list[tuple[list[int], int]]:
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> Plan:
     """A plan for so many items of each bin; bin ``b`` holds lengths up to ``b`` steps of ``grain``.
 
-    Non-negative least squares says how often each shallow combination that fills a container
-    is used; that is rounded, but never to more items than there are, and the rest is packed
-    greedily.
+    Non-negative least squares says how often each shallow combination that fills a window below the capacity
+    is used; that is rounded, but never to more items than there are. The window is widened for what is left, and the last
+    rest is packed greedily.
     """
     full = capacity // grain
     counts = np.zeros(full + 1, np.int64)
     for b, n in histogram.items():
         counts[b] = n
     chosen: list[tuple[list[int], int]] = []
-    combos = combinations(np.flatnonzero(counts), full)
-    times = nnls(combos, counts)
     left = counts.copy()
-    for c in np.argsort(-times, kind="stable").tolist():
-        if times[c] < 0.5:
-            break
-        items = combos[c][combos[c] > 0]
-        kinds, each = np.unique(items, return_counts=True)
-        n = int(min(round(times[c]), (left[kinds] // each).min()))
-        if n:
-            left[kinds] -= n * each
-            chosen.append((items.tolist(), n))
+    for window in WINDOWS:
+        combos = combinations(np.flatnonzero(left), full, DEPTH, min(window, full - 1))
+        times = nnls(combos, left)
+        for c in np.argsort(-times, kind="stable").tolist():
+            if times[c] < 0.5:
+                break
+            items = combos[c][combos[c] > 0]
+            kinds, each = np.unique(items, return_counts=True)
+            n = int(min(round(times[c]), (left[kinds] // each).min()))
+            if n:
+                left[kinds] -= n * each
+                chosen.append((items.tolist(), n))
     chosen += greedy(left, full)
     slots, container = [], 0
     for items, n in chosen:

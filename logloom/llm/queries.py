@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import ledger, packing, reading, tokens
@@ -74,26 +74,61 @@ def p7_use(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _model(spark: SparkSession, d: str) -> reading.Model | None:
-    return reading.train(table(spark, d, "documents"), table(spark, d, "level_labels"))
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: each document is there as a whole, no container holds too much, none is split that fits,
+    and the containers are no more than one in a hundred above the fewest that could do, and one."""
+    sizes = _sizes(spark, d)
+    packed = packing.pack(sizes)
+    per_doc = packed.groupBy("doc_id").agg(F.sum("length").alias("length"), F.count("*").alias("parts"))
+    docs = sizes.join(per_doc, "doc_id", "left").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.coalesce(F.col("length") != F.col("n_tokens"), F.lit(True))).alias("not_whole"),
+        F.count_if(F.col("parts") != F.greatest(F.ceil(F.col("n_tokens") / packing.CAPACITY), F.lit(1))).alias("split_in_vain"),
+    )
+    fill = packed.groupBy("container").agg(F.sum("length").alias("n"))
+    use = fill.agg(
+        F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"),
+        (F.count("*") <= F.ceil(F.sum("n") / packing.CAPACITY * 1.01) + 1).alias("near_fewest"),
+    )
+    # Two tables of one row each.
+    return docs.withColumn("one", F.lit(1)).join(use.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def _profiles(spark: SparkSession, d: str, asked: Column | None = None) -> DataFrame:
+    """The features of all rows that are asked for or labelled, stored, so that the texts are read once."""
+    folder = new_folder(spark, "profiles")
+    measured = reading.profiles(table(spark, d, "documents"), table(spark, d, "level_labels"), asked)
+    measured.write.parquet(folder)
+    return spark.read.schema(measured.schema).parquet(folder)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """English documents of at least 600 code points whose level rounds to 4 or 5."""
-    docs = table(spark, d, "documents").where("lang = 'en' AND n_chars >= 600")
-    return reading.levels(docs, _model(spark, d)).where("level >= 3.5").select("doc_id")
+    measured = _profiles(spark, d, F.expr("lang = 'en' AND n_chars >= 600"))
+    return reading.levels(measured, reading.train(measured)).where("level >= 3.5").select("doc_id")
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.levels(table(spark, d, "documents"), _model(spark, d))
+    measured = _profiles(spark, d)
+    return reading.levels(measured, reading.train(measured))
 
 
 def p8_cv(spark: SparkSession, d: str) -> DataFrame:
-    """How well levels are predicted for sources that the trees haven't seen, by fold."""
-    return reading.scores(spark, _model(spark, d))
+    """How well levels are predicted for sources that neither the trees nor the calibration have seen, by fold."""
+    return reading.scores(spark, reading.train(_profiles(spark, d, F.lit(False))))
+
+
+def p8_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any levels: one for each row, none where there is no text, and all on the scale."""
+    level = F.col("level")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.trim("text") == "", F.lit(True)).alias("blank"))
+    return docs.join(p8_levels(spark, d), "doc_id").agg(
+        F.count("*").alias("documents"), F.count_if("blank").alias("blank"), F.count_if(F.col("blank") & level.isNotNull()).alias("blank_with_level"),
+        F.count_if(~level.between(*reading.SCALE)).alias("off_scale"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p1_error, p6_ids, p6_roundtrip, p7_pack, p7_use, p8_found, p8_levels, p8_cv)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p1_error, p6_ids, p6_roundtrip, p7_pack, p7_use, p7_check, p8_found, p8_levels, p8_cv, p8_rows)}
 
 _P1 = """
 WITH old AS (SELECT key FROM log_entries UNION SELECT key FROM hint_entries),
@@ -111,4 +146,8 @@ ORACLE = {
     + """SELECT count(*) AS n_rows, count(*) FILTER (WHERE old OR n > 1) AS n_found,
   CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate FROM ranked""",
     "p6_roundtrip": "SELECT count(text) AS n_texts, count(text) AS n_same FROM documents",
+    "p7_check": """SELECT count(*) AS documents, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS split_in_vain,
+  CAST(0 AS BIGINT) AS overfull, true AS near_fewest FROM documents""",
+    "p8_rows": """SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(trim(text, ' ') = '', true)) AS blank,
+  CAST(0 AS BIGINT) AS blank_with_level, CAST(0 AS BIGINT) AS off_scale FROM documents""",
 }

@@ -62,7 +62,7 @@ def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatc
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``key, ids``: the token ids of each row's whole text, without special tokens.
 
-    A text that spells a special token is ordinary text. An empty text and NULL have no tokens:
+    A text that spells a special token, as ``<|endoftext|>``, is ordinary text. An empty text and NULL have no tokens:
     their ``ids`` is the empty list, never NULL. Each row gives one row, repeated keys and NULL
     keys too; other columns aren't read. ``path`` names another byte-level BPE file, of merges or of ranks,
     that splits texts by the same pattern.
@@ -113,17 +113,20 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
     schema = rows.select(rows[key]).schema.add("text", T.StringType())
 
     def run(batches):
-        token_bytes = load(shared.value).v.bytes
+        machine = load(shared.value)
         for batch in batches:
-            texts = []
-            for row in batch.column(1):
-                if not row.is_valid:
+            lists = batch.column(1)
+            ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+            texts: list[str | None] = []
+            for i, valid in enumerate(lists.is_valid().to_pylist()):
+                if not valid:
                     texts.append(None)
                     continue
-                values, machine, out = row.values.to_pylist(), t.StreamDecoder(token_bytes), []
-                for i in range(0, len(values), step):
-                    out.append(machine.push(values[i : i + step]))
-                texts.append("".join(out) + machine.close())
+                decoder, out = t.StreamDecoder(machine.v.bytes), []
+                for at in range(int(ends[i]), int(ends[i + 1]), step):
+                    piece = lists.values.slice(at, min(step, int(ends[i + 1]) - at))
+                    out.append(decoder.push_bytes(machine.v.joined(piece.to_numpy(zero_copy_only=False))))
+                texts.append("".join(out) + decoder.close())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return rows.mapInArrow(run, schema)

@@ -25,7 +25,8 @@ import numpy as np
 
 FLUSH = 512
 WIDTH = 513
-#: Rows of the transition table; when it is full it is made anew, with no change of results.
+#: Rows of the transition table; when it is full it is made anew, with no change of results. The same number bounds
+#: the outputs that are remembered, and eight times as many the pairs of tokens of which is known whether they may meet.
 MAX_STATES = 60_000
 #: Bytes of a lane at least, and of the texts that are handled at once.
 LANE, CHUNK = 192, 2 << 20
@@ -78,6 +79,7 @@ class Vocabulary:
         self._left: dict[int, list[tuple[int, float, float]]] = {}
         self._agree: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _from_merges(self, model: dict) -> None:
         letters, vocab = byte_letters(), model["vocab"]
@@ -146,6 +148,30 @@ class Vocabulary:
             known = self._agree[a, b] = not self._merges_across(a, b, float("inf"))
         return known
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of some tokens, gathered from one table. An id that isn't there is an error."""
+        if self._table is None:
+            lens = np.full(max(self.bytes) + 1, -1, np.int64)
+            for i, text in self.bytes.items():
+                lens[i] = len(text)
+            data = np.frombuffer(b"".join(self.bytes[i] for i in sorted(self.bytes)), np.uint8)
+            begin = np.cumsum(np.maximum(lens, 0)) - np.maximum(lens, 0)
+            self._table = lens, begin, data
+        lens, begin, data = self._table
+        ids = ids.astype(np.int64)
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(lens) and lens[ids].min() >= 0):
+            raise KeyError("an id that the vocabulary lacks")
+        n = lens[ids]
+        ends = np.cumsum(n)
+        return data[np.repeat(begin[ids] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)].tobytes()
+
+    def known(self) -> int:
+        """How many pairs of tokens are remembered."""
+        return len(self._agree)
+
+    def forget(self) -> None:
+        self._agree.clear()
+
     def whole(self, token: int) -> bool:
         """Whether the merges make this one token of its bytes."""
         known = self._whole.get(token)
@@ -181,17 +207,28 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
+        self._clear_states()
+        self.outputs: dict[tuple[int, ...], int] = {(): 0}
+        self._flat: np.ndarray | None = None
+        self.out_ids, self.out_len = [()], np.zeros(1024, np.int32)
+
+    def _clear_states(self) -> None:
+        self.v.forget()
         self.states: dict[tuple, int] = {}
         self.readings: list[tuple] = []
         self.delta = np.full(1024 * WIDTH, -1, np.int32)
         self.next = np.zeros(4096, np.int32)
         self.out = np.zeros(4096, np.int32)
         self.made = 0
-        self.outputs: dict[tuple[int, ...], int] = {(): 0}
-        self._flat: np.ndarray | None = None
-        self.out_ids, self.out_len = [()], np.zeros(1024, np.int32)
         self._state((((), -1, 0),))
 
+    def _restart(self, state: np.ndarray) -> np.ndarray:
+        """Makes the table anew with only the states that lanes are in, and returns what these are now."""
+        live, at = np.unique(state, return_inverse=True)
+        kept = [self.readings[s // WIDTH] for s in live.tolist()]
+        self._clear_states()
+        return np.array([self._state(r) * WIDTH for r in kept], np.int32)[at]
+
     def _state(self, readings: tuple) -> int:
         s = self.states.get(readings)
         if s is None:
@@ -312,7 +349,7 @@ class Transducer:
 
     def run(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The outputs of all texts in order, and how many slots of it belong to each text."""
-        if len(self.readings) > self.max_states:
+        if len(self.readings) > self.max_states or len(self.out_ids) > self.max_states or self.v.known() > 8 * self.max_states:
             self._clear()
         n = len(data)
         if not n:
@@ -344,13 +381,17 @@ class Transducer:
             cell = state[:k] + symbols[where]
             move = self.delta[cell]
             if move.min() < 0:
+                if len(self.readings) > self.max_states + len(order):
+                    state[:k] = self._restart(state[:k])
+                    cell = state[:k] + symbols[where]
+                    move = self.delta[cell]
                 self._missing(cell[move < 0])
                 move = self.delta[cell]
-            taken[where] = move
+            taken[where] = self.out[move]
             state[:k] = self.next[move]
         lanes_before = np.searchsorted(start, ends)
         slots = np.diff(np.concatenate([[0], ends + lanes_before]))
-        return self.out[taken], slots
+        return taken, slots
 
     def _expand(self, outputs: np.ndarray) -> np.ndarray:
         outputs = outputs[outputs > 0]
@@ -436,7 +477,10 @@ class StreamDecoder:
         self._machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def push(self, ids: Iterable[int]) -> str:
-        return self._machine.decode(b"".join([self.token_bytes[i] for i in ids]))
+        return self.push_bytes(b"".join([self.token_bytes[i] for i in ids]))
+
+    def push_bytes(self, data: bytes) -> str:
+        return self._machine.decode(data)
 
     def close(self) -> str:
         return self._machine.decode(b"", True)

@@ -48,6 +48,12 @@ def test_states_made_anew_and_lanes_of_any_size(monkeypatch):
     expected = public_ids(texts)
     monkeypatch.setattr(transducer, "LANE", 5)
     assert run(transducer.Transducer(MACHINE.v, max_states=3), texts) == expected
+    # Within one run too the table is made anew, with only the states that lanes are in.
+    small, made = transducer.Transducer(MACHINE.v, max_states=1), []
+    restart = small._restart
+    monkeypatch.setattr(small, "_restart", lambda state: made.append(len(small.readings)) or restart(state))
+    monkeypatch.setattr(transducer, "LANE", 10_000)
+    assert run(small, texts) == expected and made
     assert [i for t in texts for i in run(MACHINE, [t])[0]] == [i for e in expected for i in e]
 
 
@@ -108,6 +114,17 @@ def test_streams_decode_in_any_pieces():
     assert d.push([MACHINE.v.of_byte[0xF0]]) + d.close() == "�"
 
 
+def test_what_is_remembered_is_bounded():
+    v = transducer.Vocabulary(RAW)
+    machine = transducer.Transducer(v, max_states=40)
+    for i in range(30):
+        run(machine, [f"some other words {i * 7919} of 'many" * 3])
+    assert v.known() <= 8 * 40 + 2000 and len(machine.readings) <= 2000
+    before = v.known()
+    machine._clear()
+    assert before and v.known() == 0
+
+
 def test_documents(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "word " * 40_000), (5, "ends é"), (5, "ends é"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("clash"), "n_tokens": F.lit(0)})
