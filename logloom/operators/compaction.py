@@ -5,48 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.consolidate import TARGET_FILE_BYTES, kept_of, merge_runs
-from logloom.operators.log import newest, records, scan
+from logloom.config import Thresholds
+from logloom.operators import stats
+from logloom.operators.consolidate import TARGET_FILE_BYTES, Consolidation, consolidate, copied, kept_of, stored
+from logloom.operators.log import index_of, newest, records
+
+
+def flags_of(index: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``fileid, chosen``: for each file of an index whether it is one of ``chosen``, which has unique ``fileid``."""
+    marked = chosen.select("fileid", F.lit(True).alias("mark"))
+    files = index.select("fileid").distinct()
+    return files.join(marked, "fileid", "left").select("fileid", F.coalesce("mark", F.lit(False)).alias("chosen"))
+
+
+def chosen_by(index: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """``fileid, chosen``: for each file of an index whether a merge by these thresholds takes it in."""
+    of = stats.index_stats(index)
+    return of.select("fileid", stats.is_candidate(thresholds).alias("chosen"))
 
 
 def rewritten(log: DataFrame, chosen: DataFrame) -> DataFrame:
     """The records of the chosen files that a merge copies, with all columns and ``tombstone``.
 
-    ``chosen``: ``fileid`` of the files to merge, unique. Live records are copied, and newest
+    ``chosen``: ``fileid, chosen`` of each file. Live records are copied, and newest
     tombstones that still hide a value in a file outside the merge; without those the value
     would come back.
     """
-    marked = chosen.select("fileid", F.lit(True).alias("mark"))
-    flags = (
-        records(log).select("fileid").distinct().join(marked, "fileid", "left")
-        .select("fileid", F.coalesce("mark", F.lit(False)).alias("chosen"))
-    )
-    kept = kept_of(log, flags).select("fileid", "pos", "tombstone")
-    # Values of other files don't move, and those of repeated rows only once they are known to be kept.
-    own = records(log).join(marked, "fileid", "left_semi")
-    columns = ["fileid", "pos", "len", "tstamp", "key", "value"]
-    copied = scan(own.select(*columns).join(kept.drop("tombstone"), ["fileid", "pos"], "left_semi"))
-    return copied.withColumn("tombstone", F.col("value").isNull())
-
-
-def merge_files(log: DataFrame, chosen: DataFrame, first_fileid: int, target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
-    """What a merge writes: the copied records, by key, in new files from ``first_fileid`` on.
-
-    Tombstones go into files of their own, with odd offsets. Hints tell of live records only, and
-    recovery doesn't read a file that has hints, so a tombstone must not share one with them.
+    return copied(log, chosen, kept_of(log, chosen)).withColumn("tombstone", F.col("value").isNull())
+
+
+def merge(
+    log: DataFrame, thresholds: Thresholds, root: str, first_fileid: int, target_bytes: int = TARGET_FILE_BYTES
+) -> tuple[DataFrame, Consolidation]:
+    """Merges the files of a log that the thresholds name. Returns ``fileid, chosen`` of each file, and what was written.
+
+    The log is read once without values, for an index that is stored below ``root`` and serves all decisions, and once more
+    to copy what must be kept.
     """
-    kept = rewritten(log, chosen)
-    parts = []
-    for odd in (0, 1):
-        merged = merge_runs(kept.where("tombstone" if odd else "NOT tombstone"), target_bytes)
-        fileid = F.lit(first_fileid + odd) + 2 * (F.col("range_no").cast("bigint") * F.lit(1 << 20) + F.col("file_no"))
-        parts.append(merged.select(fileid.alias("fileid"), F.col("new_pos").alias("pos"), "len", "tstamp", "key", "value"))
-    return parts[0].unionByName(parts[1])
+    index = stored(index_of(log), f"{root}/index")
+    chosen = stored(chosen_by(index, thresholds), f"{root}/chosen")
+    return chosen, consolidate(log, chosen, root, first_fileid, target_bytes, index)
 
 
 def unmerged(log: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The records of files that aren't merged."""
-    return records(log).join(chosen.select("fileid"), "fileid", "left_anti").select("fileid", "pos", "len", "tstamp", "key", "value")
+    """The records of files that aren't merged. ``chosen``: ``fileid, chosen`` of each file."""
+    gone = chosen.where("chosen").select("fileid")
+    return records(log).join(gone, "fileid", "left_anti").select("fileid", "pos", "len", "tstamp", "key", "value")
 
 
 def hints(log: DataFrame) -> DataFrame:
@@ -68,7 +72,12 @@ def recovery_index(log: DataFrame, hint: DataFrame) -> DataFrame:
     return own.withColumn("tombstone", F.lit(False)).unionByName(data.join(hinted, "fileid", "left_anti"))
 
 
+def newest_of_index(index: DataFrame) -> DataFrame:
+    """``key, fileid, pos, len, tstamp, tombstone`` of the newest record of each key of an index."""
+    r = F.max(F.struct("fileid", "pos", "len", "tstamp", "tombstone")).alias("r")
+    return index.groupBy("key").agg(r).select("key", "r.*")
+
+
 def recover(log: DataFrame, hint: DataFrame) -> DataFrame:
     """The index after recovery: ``key, fileid, pos, len, tstamp`` of each live key."""
-    r = F.max(F.struct("fileid", "pos", "len", "tstamp", "tombstone")).alias("r")
-    return recovery_index(log, hint).groupBy("key").agg(r).select("key", "r.*").where("NOT tombstone").drop("tombstone")
+    return newest_of_index(recovery_index(log, hint)).where("NOT tombstone").drop("tombstone")

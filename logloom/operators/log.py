@@ -8,13 +8,15 @@ counts once. Other columns aren't read.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.scalars import record_size
+from logloom.operators.consolidate import close_by_size
 from logloom.operators.replay import with_previous
 
-#: Ids that each writer of a batch may use.
+#: Ids that each writer of a batch may use; one that needs more is an error.
 FILES_PER_WRITER = 1 << 20
 
 
@@ -28,6 +30,12 @@ def scan(log: DataFrame) -> DataFrame:
     return records(log).groupBy("fileid", "pos", "key").agg(rest).select("fileid", "pos", "rest.len", "rest.tstamp", "key", "rest.value")
 
 
+def index_of(log: DataFrame) -> DataFrame:
+    """``fileid, pos, key, len, tstamp, tombstone`` of each record, once: the log without its values."""
+    last = [F.max("len").alias("len"), F.max("tstamp").alias("tstamp"), F.min(F.col("value").isNull()).alias("tombstone")]
+    return records(log).groupBy("fileid", "pos", "key").agg(*last)
+
+
 def newest(log: DataFrame) -> DataFrame:
     """``key, value, fileid, pos, len, tstamp, tombstone`` of the newest record of each key.
 
@@ -88,18 +96,22 @@ def rotate(rows: DataFrame, by: str, order: list[str], max_bytes: int) -> DataFr
     def fold(batches):
         import pyarrow as pa
 
-        writer, segment, filled, begun = None, 0, 0, False
+        now, filled, segment, begun = None, 0, 0, False
         for batch in batches:
-            segments, places = [], []
-            for w, n in zip(batch.column(at_by).to_pylist(), batch.column(at_len).to_pylist(), strict=True):
-                if not begun or w != writer:
-                    writer, segment, filled, begun = w, 0, 0, True
-                segments.append(segment)
-                places.append(filled)
-                filled += n or 0
-                if filled > max_bytes:
-                    segment, filled = segment + 1, 0
-            columns = [*batch.columns, pa.array(segments, pa.int64()), pa.array(places, pa.int64())]
+            if not batch.num_rows:
+                continue
+            writers = batch.column(at_by)
+            lens = batch.column(at_len).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Where the writer changes: equal values lie together, and NULL is a writer like others.
+            codes = writers.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            segments, places = np.empty(len(lens), np.int64), np.empty(len(lens), np.int64)
+            for i, j in zip(edges, edges[1:], strict=False):
+                writer = writers[i].as_py()
+                if not begun or writer != now:
+                    now, filled, segment, begun = writer, 0, 0, True
+                segments[i:j], places[i:j], filled, segment = close_by_size(lens[i:j], max_bytes, filled, segment)
+            columns = [*batch.columns, pa.array(segments), pa.array(places)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return ready.mapInArrow(fold, schema)
@@ -126,17 +138,16 @@ def as_records(batch: DataFrame, first_fileid: int, max_bytes: int, order: str =
     def fold(batches):
         import pyarrow as pa
 
-        file_no, filled = 0, 0
+        filled, file_no = 0, 0
         for rows in batches:
-            ids, places = [], []
-            writers = rows.column("writer").to_pylist()
-            for w, n in zip(writers, rows.column("len").to_pylist(), strict=True):
-                ids.append(first_fileid + w * FILES_PER_WRITER + file_no)
-                places.append(filled)
-                filled += n
-                if filled > max_bytes:
-                    file_no, filled = file_no + 1, 0
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), *(rows.column(c) for c in ("len", "tstamp", "key", "value"))]
+            if not rows.num_rows:
+                continue
+            lens = rows.column("len").to_numpy(zero_copy_only=False)
+            files, places, filled, file_no = close_by_size(lens, max_bytes, filled, file_no)
+            if file_no >= FILES_PER_WRITER:
+                raise ValueError(f"a writer needs more than {FILES_PER_WRITER} files; take larger files or smaller batches")
+            ids = first_fileid + rows.column("writer").to_numpy(zero_copy_only=False).astype(np.int64) * FILES_PER_WRITER + files
+            columns = [pa.array(ids), pa.array(places), *(rows.column(c) for c in ("len", "tstamp", "key", "value"))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return ready.mapInArrow(fold, schema)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.config import Merge, Thresholds, Triggers
 from logloom.functions.scalars import fragmentation, in_window
 from logloom.operators.consolidate import file_sizes
-from logloom.operators.log import newest, records
+from logloom.operators.log import newest
 
 
 def segment_stats(log: DataFrame) -> DataFrame:
@@ -18,17 +18,26 @@ def segment_stats(log: DataFrame) -> DataFrame:
     The live records are few, one for each key at most, so they are counted by file and taken
     from the totals, and neither a window nor a join gathers a hot key.
     """
+    return _stats(file_sizes(log), newest(log))
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """The same of a log's index, which has each record once, with ``tombstone`` instead of its value."""
+    sizes = index.groupBy("fileid").agg(F.count("*").alias("records"), F.coalesce(F.sum("len"), F.lit(0)).alias("bytes"))
+    last = F.max(F.struct("fileid", "pos", "len", "tombstone")).alias("r")
+    return _stats(sizes, index.groupBy("key").agg(last).select("key", "r.*"))
+
+
+def _stats(sizes: DataFrame, last: DataFrame) -> DataFrame:
     live = (
-        newest(log)
-        .where("NOT tombstone")
+        last.where("NOT tombstone")
         .groupBy("fileid")
         .agg(F.count("*").alias("live_keys"), F.coalesce(F.sum("len"), F.lit(0)).alias("live_bytes"))
     )
     zero = F.lit(0).cast("bigint")
     live_keys, live_bytes = F.coalesce("live_keys", zero), F.coalesce("live_bytes", zero)
     return (
-        file_sizes(records(log))
-        .join(live, "fileid", "left")
+        sizes.join(live, "fileid", "left")
         .select(
             "fileid",
             live_keys.alias("live_keys"),
@@ -46,15 +55,20 @@ def merge_trigger(stats: DataFrame, triggers: Triggers) -> DataFrame:
     return stats.agg(F.coalesce(F.bool_or(above), F.lit(False)).alias("merge"))
 
 
-def merge_candidates(stats: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """The statistics of the files that a merge takes in."""
-    return stats.where(
+def is_candidate(thresholds: Thresholds) -> Column:
+    """Whether a merge takes in a file, by its statistics."""
+    return (
         (F.col("dead_bytes") > thresholds.dead_bytes)
         | (F.col("fragmentation") > thresholds.fragmentation)
         | (F.col("file_bytes") < thresholds.small_file)
     )
 
 
+def merge_candidates(stats: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """The statistics of the files that a merge takes in."""
+    return stats.where(is_candidate(thresholds))
+
+
 def may_merge(stats: DataFrame, merge: Merge, hour: int) -> bool:
     """Whether to merge now: the policy and its hours allow it, and a file is above a trigger."""
     if merge.policy == "never":

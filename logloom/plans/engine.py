@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.config import Merge, Net, Thresholds, Triggers
 from logloom.functions import resp, scalars
 from logloom.operators import compaction, log, replay, stats
+from logloom.schema import LOG
+from logloom.session import new_folder
 from logloom.sources import records as files
 from logloom.sources.tables import table
 
@@ -141,24 +143,35 @@ def merge_window(spark: SparkSession, d: str) -> DataFrame:
     return stats.by_merge_hour(table(spark, d, "change_feed"), "received_at", *MERGE_HOURS)
 
 
-def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    return stats.merge_candidates(stats.segment_stats(_log(spark, d)), THRESHOLDS)
-
-
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _chosen(spark, d).select("fileid")
+    return stats.merge_candidates(stats.segment_stats(_log(spark, d)), THRESHOLDS).select("fileid")
 
 
 def merge_rewrite_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = compaction.rewritten(_log(spark, d), _chosen(spark, d))
-    return rows.select("fileid", "pos", "len", "tstamp", *_h("key", "value"), "tombstone")
+    """What a merge writes, read again from its new files, with where each record was before."""
+    _, made = _merge(spark, d)
+    rows = made.files.select(F.col("old_fileid").alias("fileid"), F.col("old_pos").alias("pos"), "len", "tstamp", "key", "value")
+    return rows.select("fileid", "pos", "len", "tstamp", *_h("key", "value"), F.col("value").isNull().alias("tombstone"))
 
 
-def _compacted(spark: SparkSession, d: str) -> DataFrame:
-    rows, chosen = _log(spark, d), _chosen(spark, d)
+def _merge(spark: SparkSession, d: str):
+    rows = _log(spark, d)
     first = log.next_fileid(rows).first()["fileid"]
-    merged = compaction.merge_files(rows, chosen, first).withColumn("merged", F.lit(True))
-    return compaction.unmerged(rows, chosen).distinct().withColumn("merged", F.lit(False)).unionByName(merged)
+    return compaction.merge(rows, THRESHOLDS, new_folder(spark, "merge"), first)
+
+
+def _compacted(spark: SparkSession, d: str) -> DataFrame:
+    chosen, made = _merge(spark, d)
+    rest = compaction.unmerged(_log(spark, d), chosen).distinct().withColumn("merged", F.lit(False))
+    return rest.unionByName(made.files.select(*LOG.names).withColumn("merged", F.lit(True)))
+
+
+def merged_places(spark: SparkSession, d: str) -> DataFrame:
+    """How the new files of a merge are laid out: of each record the number of its file, by key order, and its offset."""
+    _, made = _merge(spark, d)
+    files = made.ranges.select("fileid", F.row_number().over(Window.partitionBy(F.pmod("fileid", F.lit(2))).orderBy("fileid")).alias("file_no"))
+    rows = made.files.withColumn("tombstone", F.col("value").isNull()).join(files, "fileid")
+    return rows.select("tombstone", (F.col("file_no") - 1).cast("bigint").alias("file_no"), "pos", *_h("key"), "old_fileid", "old_pos")
 
 
 def compacted_log(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +289,7 @@ QUERIES = {
     for f in (
         log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, set_upsert,
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
-        merge_rewrite_rows, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
+        merge_rewrite_rows, merged_places, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
         resp_decode, resp_decode_commands, wire_replay, cli_render, backoff_schedule, jitter_bounds,
     )
@@ -406,6 +419,17 @@ SELECT fileid, pos, segment, segment_pos FROM fold""",
     "merge_candidates": _STATS + " SELECT fileid FROM chosen",
     "merge_rewrite_rows": _MERGE
     + " SELECT fileid, pos, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex, tombstone FROM kept",
+    "merged_places": _MERGE.replace("WITH one", "WITH RECURSIVE one")
+    + """, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tombstone ORDER BY key, fileid, pos) AS nth FROM kept
+), fold AS (
+  SELECT tombstone, nth, len, key, fileid, pos, CAST(0 AS BIGINT) AS file_no, CAST(0 AS BIGINT) AS place FROM placed WHERE nth = 1
+  UNION ALL
+  SELECT p.tombstone, p.nth, p.len, p.key, p.fileid, p.pos, f.file_no + CASE WHEN f.place + f.len > 65536 THEN 1 ELSE 0 END,
+    CASE WHEN f.place + f.len > 65536 THEN 0 ELSE f.place + f.len END
+  FROM fold f JOIN placed p ON p.tombstone = f.tombstone AND p.nth = f.nth + 1
+)
+SELECT tombstone, file_no, place AS pos, hex(key) AS key_hex, fileid AS old_fileid, pos AS old_pos FROM fold""",
     "compacted_log": _MERGE + " SELECT merged, len, tstamp, hex(key) AS key_hex, hex(value) AS value_hex FROM after",
     "compacted_snapshot": _LOG + " SELECT hex(key) AS key_hex, hex(value) AS value_hex, len, tstamp FROM snap",
     "compacted_stats": _MERGE

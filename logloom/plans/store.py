@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators import changes, consolidate, heavy, incremental
@@ -44,15 +44,38 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(reader.run(rows)).select("fileid", "pos")
 
 
+def _consolidated(spark: SparkSession, d: str) -> consolidate.Consolidation:
+    return consolidate.consolidate_small(table(spark, d, "log_entries"), new_folder(spark, "consolidated"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    kept = consolidate.kept_records(table(spark, d, "log_entries"))
-    return consolidate.merge_runs(kept).select("fileid", "pos")
+    """Where the records of the new files, as these are read again, were before."""
+    return _consolidated(spark, d).files.select(F.col("old_fileid").alias("fileid"), F.col("old_pos").alias("pos"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the new files, with values and times."""
+    return _consolidated(spark, d).files.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "tstamp", "len")
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    """The files that the consolidation makes, with their key ranges."""
-    merged = consolidate.merge_runs(consolidate.kept_records(table(spark, d, "log_entries")))
-    return consolidate.range_metadata(merged).withColumns({c: F.hex(c) for c in ("min_key", "max_key")})
+    """The new files with their key ranges, as their metadata says."""
+    return _consolidated(spark, d).ranges.withColumns({c: F.hex(c) for c in ("min_key", "max_key")})
+
+
+def p4_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the new files, by their metadata: records and bytes in all, no file longer than the target and a record, and
+    no two files of values, or of tombstones, with keys of one another."""
+    made = _consolidated(spark, d)
+    longest = made.files.agg(F.max("len")).first()[0] or 0
+    lane = Window.partitionBy(F.pmod("fileid", F.lit(2))).orderBy("fileid")
+    files = made.ranges.withColumn("before", F.lag("max_key").over(lane))
+    return files.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.count_if(F.col("bytes") > F.lit(longest) + consolidate.TARGET_FILE_BYTES).alias("too_long"),
+        F.count_if(F.col("min_key") < F.col("before")).alias("overlapping"),
+    )
 
 
 def p4_small(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +95,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.select(F.hex("key").alias("key_hex"), "records", "bytes", "fileid", "pos", "tstamp")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_store, p3_found, p3_records, p3_runs, p4_found, p4_files, p4_small, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_store, p3_found, p3_records, p3_runs, p4_found, p4_records, p4_files, p4_sums, p4_small, p5_found, p5_totals)}
 
 _P2 = """
 WITH one AS (
@@ -103,10 +126,22 @@ SELECT {} FROM rows r JOIN unread u ON u.key = r.key AND u.tstamp = r.tstamp WHE
 """
 _P4 = """
 WITH one AS (
-  SELECT DISTINCT fileid, pos, len, key, value IS NULL AS tombstone FROM log_entries
+  SELECT DISTINCT fileid, pos, len, tstamp, key, value, value IS NULL AS tombstone FROM log_entries
 ), sizes AS (
   SELECT fileid, count(*) AS records, sum(len) AS bytes FROM one GROUP BY fileid
 )"""
+_KEPT = (
+    _P4
+    + """, ranked AS (
+  SELECT o.*, s.bytes < 4096 AS small,
+    row_number() OVER (PARTITION BY o.key ORDER BY o.fileid DESC, o.pos DESC) AS n
+  FROM one o JOIN sizes s ON s.fileid = o.fileid
+), large AS (SELECT DISTINCT key FROM ranked WHERE NOT small AND NOT tombstone),
+kept AS (
+  SELECT r.* FROM ranked r LEFT JOIN large l ON l.key = r.key
+  WHERE r.n = 1 AND r.small AND (NOT r.tombstone OR l.key IS NOT NULL)
+) """
+)
 _P5 = """
 WITH one AS (SELECT DISTINCT fileid, pos, len, tstamp, key FROM log_entries)
 """
@@ -117,15 +152,11 @@ ORACLE = {
     "p3_found": _P3.format("r.fileid, r.pos"),
     "p3_runs": _P3.format("r.fileid, r.pos"),
     "p3_records": _P3.format("hex(r.key) AS key_hex, r.tstamp, r.fileid, r.pos"),
-    "p4_found": _P4
-    + """, ranked AS (
-  SELECT o.*, s.bytes < 4096 AS small,
-    row_number() OVER (PARTITION BY o.key ORDER BY o.fileid DESC, o.pos DESC) AS n
-  FROM one o JOIN sizes s ON s.fileid = o.fileid
-), large AS (SELECT DISTINCT key FROM ranked WHERE NOT small AND NOT tombstone)
-SELECT r.fileid, r.pos FROM ranked r LEFT JOIN large l ON l.key = r.key
-WHERE r.n = 1 AND r.small AND (NOT r.tombstone OR l.key IS NOT NULL)
-""",
+    "p4_found": _KEPT + "SELECT fileid, pos FROM kept",
+    "p4_records": _KEPT + "SELECT hex(key) AS key_hex, hex(value) AS value_hex, tstamp, len FROM kept",
+    "p4_sums": _KEPT
+    + """SELECT count(*) AS records, CAST(coalesce(sum(len), 0) AS BIGINT) AS bytes,
+  CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS overlapping FROM kept""",
     "p4_small": _P4
     + """
 SELECT bytes < 4096 AS small, count(*) AS files, CAST(sum(records) AS BIGINT) AS records,

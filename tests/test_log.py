@@ -1,7 +1,8 @@
 import pytest
 from logloom.config import Merge, Thresholds, Triggers
 from logloom.functions import scalars
-from logloom.operators import compaction, log, stats
+from logloom.operators import compaction, consolidate, log, stats
+from logloom.schema import LOG
 from pyspark.sql import functions as F
 
 from tests.helpers import LOG_DDL, in_order, plain, random_log, size, state
@@ -130,12 +131,15 @@ def test_triggers_are_strict(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_merge_leaves_the_state_as_it_was(spark, seed):
+def test_merge_leaves_the_state_as_it_was(spark, tmp_path, seed):
     rows = random_log(seed)
     df = make(spark, rows)
     ids = sorted({r[0] for r in rows})[2:7]
-    chosen = spark.createDataFrame([(i,) for i in ids], "fileid long")
-    merged = compaction.merge_files(df, chosen, 1000, 200)
+    chosen = spark.createDataFrame([(i, i in ids) for i in sorted({r[0] for r in rows})], "fileid long, chosen boolean")
+    made = consolidate.consolidate(df, chosen, str(tmp_path / "m"), 1000, 200)
+    merged = made.files.select(*LOG.names)
+    again = compaction.rewritten(df, chosen).select("fileid", "pos", "len", "tstamp", "key", "value")
+    assert plain(again.collect()) == plain(made.files.select("old_fileid", "old_pos", "len", "tstamp", "key", "value").collect())
     after = compaction.unmerged(df, chosen).unionByName(merged)
     got = {bytes(r["key"]): bytes(r["value"]) for r in log.snapshot(after).collect()}
     assert got == {k: r[5] for k, r in state(rows).items()}
@@ -145,7 +149,29 @@ def test_merge_leaves_the_state_as_it_was(spark, seed):
     # Every value that a tombstone still hides lies in a file outside the merge.
     outside = {r[4] for r in rows if r[0] not in ids and r[5] is not None}
     assert all(bytes(r["key"]) in outside for r in merged.where("value IS NULL").collect())
-    assert compaction.rewritten(df, chosen.limit(0)).count() == 0
+    assert compaction.rewritten(df, chosen.withColumn("chosen", F.lit(False))).count() == 0
+    none = consolidate.consolidate(df, chosen.withColumn("chosen", F.lit(False)), str(tmp_path / "n"), 1000, 200)
+    assert none.files.count() == 0 and none.ranges.count() == 0
+
+
+def test_merge_by_thresholds(spark, tmp_path):
+    rows = random_log(5)
+    df = make(spark, rows)
+    thresholds = Thresholds(0.5, 10**9, 150)
+    index = log.index_of(df)
+    assert plain(stats.index_stats(index).collect()) == plain(stats.segment_stats(df).collect())
+    chosen, made = compaction.merge(df, thresholds, str(tmp_path / "m"), 1000)
+    named = {r["fileid"] for r in stats.merge_candidates(stats.segment_stats(df), thresholds).collect()}
+    assert named and {r["fileid"] for r in chosen.where("chosen").collect()} == named
+    after = compaction.unmerged(df, chosen).unionByName(made.files.select(*LOG.names))
+    assert {bytes(r["key"]): bytes(r["value"]) for r in log.snapshot(after).collect()} == {k: r[5] for k, r in state(rows).items()}
+
+
+def test_a_writer_with_too_many_files_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(log, "FILES_PER_WRITER", 3)
+    batch = spark.createDataFrame([(i, i, bytes([i]), b"v" * 10) for i in range(40)], "seq long, tstamp long, key binary, value binary")
+    with pytest.raises(Exception, match="a writer needs more than"):
+        log.as_records(batch.coalesce(1), 0, 20).collect()
 
 
 def test_recovery_prefers_hints(spark):

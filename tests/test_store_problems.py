@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from logloom.manifests import ConflictError
 from logloom.operators import changes, consolidate, heavy, incremental
@@ -206,7 +207,7 @@ def test_consolidation_keeps_what_is_needed(spark, seed):
     rows = random_log(seed, files=14)
     log = spark.createDataFrame([*rows, (None, 1, 1, 1, b"z", b"z"), (1, None, 1, 1, b"z", b"z"), (1, 1, 1, 1, None, b"z")], LOG_DDL)
     small = 250
-    got = consolidate.kept_records(log, small)
+    got = consolidate.kept_of(log, consolidate.small_files(log, small))
     assert sorted((r["fileid"], r["pos"]) for r in got.collect()) == kept(rows, small)
     # The store is the same after the small files were replaced by what is kept of them.
     sizes = {r["fileid"]: r["bytes"] for r in consolidate.file_sizes(log).collect()}
@@ -215,29 +216,76 @@ def test_consolidation_keeps_what_is_needed(spark, seed):
     assert {k: r[5] for k, r in state(after).items()} == {k: r[5] for k, r in state(rows).items()}
 
 
-def test_merged_runs_lose_and_repeat_nothing(spark):
-    rows = random_log(5, files=20)
-    log = spark.createDataFrame(rows, LOG_DDL).withColumn("x", F.lit(1))
-    out = consolidate.merge_runs(log, target_bytes=300, ranges=3)
-    got = out.collect()
-    assert plain([tuple(r)[:6] for r in got]) == plain(rows)
+@pytest.mark.parametrize(("block", "target"), [(1, 300), (4, 300), (4096, 40), (7, 10**6)])
+def test_merged_runs_lose_and_repeat_nothing(spark, tmp_path, monkeypatch, block, target):
+    monkeypatch.setattr(consolidate, "BLOCK_RECORDS", block)
+    monkeypatch.setattr(consolidate, "FILES_PER_RANGE", 3)
+    rows = [*random_log(5, files=20), (900, 0, None, 1, b"no len", b"v")]
+    log = spark.createDataFrame(rows, LOG_DDL).withColumn("range_no", F.lit("clash")).repartition(6)
+    ranges = consolidate.key_ranges(log, target)
+    runs = consolidate.stored(consolidate.sorted_runs(log, ranges), str(tmp_path / "runs"))
+    blocks = runs.collect()
+    assert len({r["run"] for r in blocks}) > 1 and max(r["records"] for r in blocks) <= block
+    got = consolidate.merge_runs(runs, ranges.n, target).collect()
+    assert plain([tuple(r)[4:] for r in got]) == plain(rows)
     files = {}
     for r in got:
-        files.setdefault((r["range_no"], r["file_no"]), []).append(r)
-    for (_, no), members in files.items():
-        members.sort(key=lambda r: r["new_pos"])
-        assert [r["new_pos"] for r in members] == [sum(r["len"] for r in members[:i]) for i in range(len(members))]
-        assert sum(r["len"] for r in members[:-1]) < 300
+        assert r["tombstone"] == (r["value"] is None)
+        files.setdefault((r["range_no"], r["tombstone"], r["file_no"]), []).append(r)
+    assert (ranges.n > 1) == (target < 10**6) and len({f[0] for f in files}) == ranges.n
+    before = {}
+    for (range_no, gone, no), members in sorted(files.items()):
+        assert [r["new_pos"] for r in members] == [sum(r["len"] or 0 for r in members[:i]) for i in range(len(members))]
+        # A file is closed after the record that takes it over the target, not before.
+        assert sum(r["len"] or 0 for r in members[:-1]) <= target
         order = [(bytes(r["key"]), r["fileid"], r["pos"]) for r in members]
-        assert order == sorted(order)
-        if (members[0]["range_no"], no + 1) in files:
-            assert sum(r["len"] for r in members) >= 300
-    meta = {(r["range_no"], r["file_no"]): r for r in consolidate.range_metadata(out).collect()}
-    assert set(meta) == set(files)
-    for k, members in files.items():
-        assert bytes(meta[k]["min_key"]) == min(bytes(r["key"]) for r in members)
-        assert (meta[k]["records"], meta[k]["bytes"]) == (len(members), sum(r["len"] for r in members))
-    assert consolidate.merge_runs(log.limit(0)).count() == 0
+        assert order == sorted(order) and before.get(gone, order[0]) <= order[0]
+        before[gone] = order[-1]
+        if (range_no, gone, no + 1) in files:
+            assert sum(r["len"] or 0 for r in members) > target
+
+
+def test_consolidated_files_are_a_log_with_ranges(spark, tmp_path):
+    rows = random_log(6, files=20)
+    log = spark.createDataFrame(rows, LOG_DDL)
+    made = consolidate.consolidate_small(log, str(tmp_path / "c"), 250, 300)
+    assert sorted((r["old_fileid"], r["old_pos"]) for r in made.files.collect()) == kept(rows, 250)
+    first = max(r[0] for r in rows) + 1
+    by_file = {}
+    for r in made.files.collect():
+        by_file.setdefault(r["fileid"], []).append(r)
+    meta = {r["fileid"]: r for r in made.ranges.collect()}
+    assert set(meta) == set(by_file) and min(meta) >= first
+    for i, members in by_file.items():
+        assert bytes(meta[i]["min_key"]) == min(bytes(r["key"]) for r in members) and bytes(meta[i]["max_key"]) == max(bytes(r["key"]) for r in members)
+        assert (meta[i]["records"], meta[i]["bytes"]) == (len(members), sum(r["len"] for r in members))
+        assert {(r["value"] is None) for r in members} == {(i - first) % 2 == 1}
+    empty = consolidate.consolidate_small(log.limit(0), str(tmp_path / "e"))
+    assert empty.files.count() == 0 and empty.ranges.count() == 0
+
+
+def test_too_many_files_in_a_range_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(consolidate, "IDS_PER_RANGE", 2)
+    monkeypatch.setattr(consolidate, "MOST_RANGES", 1)
+    with pytest.raises(Exception, match="needs more than 2 files"):
+        consolidate.consolidate_small(spark.createDataFrame(random_log(6, files=20), LOG_DDL), str(tmp_path / "c"), 10**6, 20)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 9, 10, 50])
+def test_files_are_closed_by_size(limit):
+    rnd = random.Random(limit)
+    lens = [rnd.choice([0, 0, 1, 5, 9, 30]) for _ in range(200)]
+    expected, no, filled = [], 0, 0
+    for n in lens:
+        expected.append((no, filled))
+        filled += n
+        if filled > limit:
+            no, filled = no + 1, 0
+    got, state_ = [], (0, 0)
+    for i in range(0, 200, 23):
+        files, places, *state_ = consolidate.close_by_size(np.array(lens[i : i + 23]), limit, *state_)
+        got += zip(files.tolist(), places.tolist())
+    assert got == expected and tuple(state_) == (filled, no)
 
 
 @pytest.mark.parametrize("seed", range(3))
