@@ -20,8 +20,9 @@ class Manifests:
     when it is whole, so there it is created under its number, without overwriting. Of two writers the later fails.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, sync: bool = False):
+        """``sync``: whether a manifest must be on disk before it counts, not only with the file system."""
+        self.spark, self.folder, self.sync = spark, folder.rstrip("/"), sync
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self.fs = self._path(self.folder).getFileSystem(self._conf)
@@ -75,6 +76,8 @@ class Manifests:
         stream = self.fs.create(path, False)
         try:
             stream.write(data)
+            if self.sync:
+                stream.hsync()
         finally:
             stream.close()
 

@@ -30,6 +30,11 @@ def scan(log: DataFrame) -> DataFrame:
     return records(log).groupBy("fileid", "pos", "key").agg(rest).select("fileid", "pos", "rest.len", "rest.tstamp", "key", "rest.value")
 
 
+def narrow(log: DataFrame) -> DataFrame:
+    """``fileid, pos, len, tstamp, key, tombstone`` of each record, as often as it is there."""
+    return records(log).select("fileid", "pos", "len", "tstamp", "key", F.col("value").isNull().alias("tombstone"))
+
+
 def index_of(log: DataFrame) -> DataFrame:
     """``fileid, pos, key, len, tstamp, tombstone`` of each record, once: the log without its values."""
     last = [F.max("len").alias("len"), F.max("tstamp").alias("tstamp"), F.min(F.col("value").isNull()).alias("tombstone")]
@@ -53,18 +58,37 @@ def snapshot(log: DataFrame) -> DataFrame:
     return newest(log).where("NOT tombstone").drop("tombstone")
 
 
-def get_batch(requests: DataFrame, snap: DataFrame) -> DataFrame:
+def _with_values(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    own = [c for c in requests.columns if c not in ("found", "value")]
+    joined = requests.select(*own).join(hits, "key", "left")
+    return joined.select(*own, F.col("_value").isNotNull().alias("found"), F.col("_value").alias("value"))
+
+
+def get_batch(requests: DataFrame, log: DataFrame) -> DataFrame:
     """All columns of ``requests``, then ``found`` and ``value``: what each request's key holds.
 
     ``requests`` has ``key``; a NULL or absent key is not found. A column of it that is called
-    ``found`` or ``value`` is replaced. Only snapshot rows of asked keys enter the join; AQE
+    ``found`` or ``value`` is replaced. Only records of asked keys are folded; AQE
     splits keys that are asked for very often.
     """
     asked = requests.select("key").where("key IS NOT NULL").distinct()
-    hits = snap.select("key", F.col("value").alias("_value")).join(asked, "key", "left_semi")
-    own = [c for c in requests.columns if c not in ("found", "value")]
-    joined = requests.select(*own).join(hits, "key", "left")
-    return joined.select(*own, F.col("_value").isNotNull().alias("found"), F.col("_value").alias("value"))
+    hits = snapshot(records(log).select("key", "value", "fileid", "pos", "len", "tstamp").join(asked, "key", "left_semi"))
+    return _with_values(requests, hits.select("key", F.col("value").alias("_value")))
+
+
+def get_by_index(requests: DataFrame, index: DataFrame, log: DataFrame, bits: int) -> DataFrame:
+    """The same by an index, ``key, fileid, pos, tombstone``, of whose rows the newest of each key counts.
+
+    ``log`` has also ``writer``, the file id without its last ``bits`` bits, by which it is partitioned. Places of the asked keys are found
+    without values; then only the partitions that hold them are read.
+    """
+    asked = requests.select("key").where("key IS NOT NULL").distinct()
+    last = F.max(F.struct("fileid", "pos", "tombstone")).alias("r")
+    places = index.join(asked, "key", "left_semi").groupBy("key").agg(last).select("key", "r.*").where("NOT tombstone").drop("tombstone")
+    # File ids aren't negative. Spark prunes partitions by a join only if it takes the other side for selective, as after a comparison.
+    places = places.where("fileid >= 0").withColumn("writer", F.shiftright("fileid", bits))
+    values = log.select("writer", "fileid", "pos", F.col("value").alias("_value")).join(places, ["writer", "fileid", "pos"]).select("key", "_value")
+    return _with_values(requests, values.dropDuplicates(["key"]))
 
 
 def next_fileid(log: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.config import Merge, Net, Thresholds, Triggers
+from logloom.api import KeyedLog
+from logloom.config import Merge, Net, Storage, Thresholds, Triggers
 from logloom.functions import resp, scalars
 from logloom.operators import compaction, log, replay, stats
 from logloom.schema import LOG
@@ -100,7 +101,17 @@ def replaced_records(spark: SparkSession, d: str) -> DataFrame:
 
 def get_batch(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "change_feed").select("feed_seq", "key")
-    return log.get_batch(requests, log.snapshot(_log(spark, d))).select("feed_seq", "found", *_h("value"))
+    return log.get_batch(requests, _log(spark, d)).select("feed_seq", "found", *_h("value"))
+
+
+def store_get(spark: SparkSession, d: str) -> DataFrame:
+    """The log loaded into a store and merged, the store opened again, and the feed's keys looked up by the recovered index."""
+    root, conf = new_folder(spark, "store"), Storage(max_file_size=65_536, merge=Merge(thresholds=THRESHOLDS))
+    with KeyedLog.open(spark, root, conf) as store:
+        store.load(_log(spark, d))
+        store.merge()
+    requests = table(spark, d, "change_feed").select("feed_seq", "key")
+    return KeyedLog.open(spark, root, conf).get_batch(requests).select("feed_seq", "found", *_h("value"))
 
 
 def set_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +298,7 @@ def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, set_upsert,
+        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, store_get, set_upsert,
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, merged_places, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
@@ -477,4 +488,5 @@ FROM checked""",
   FROM range(0, 8) AS r(i) WHERE 500 * pow(2, i) <= 64000""",
     "jitter_bounds": "SELECT CAST(18000 - 18000 * 0.3 AS DOUBLE) AS low, CAST(18000 + 18000 * 0.3 AS DOUBLE) AS high",
 }
+ORACLE["store_get"] = ORACLE["get_batch"]
 ORACLE["wire_replay"] = ORACLE["resp_encode_replies"]

@@ -1,10 +1,12 @@
+import time
+
 import pytest
 from logloom.api import ClosedError, ConflictError, KeyedLog
 from logloom.config import Merge, Storage, Thresholds, Triggers
 from logloom.streaming import commands as streaming
 from pyspark.sql import functions as F
 
-from tests.helpers import plain
+from tests.helpers import LOG_DDL, plain, random_log, state
 from tests.test_replay import DDL, answers, random_commands
 
 
@@ -48,7 +50,7 @@ def test_batches_and_merges(spark, tmp_path):
     assert store.maybe_merge(3) and live(store) == before
     assert old.count() == n  # a reader keeps what it began with
     assert store.stats().agg(F.sum("dead_keys")).first()[0] == 0
-    assert store.hints().count() > 0 and len(store.vacuum()) > 0
+    assert store.hints().count() > 0 and store.vacuum() == [] and len(store.vacuum(0)) > 0
     assert live(KeyedLog.open(spark, str(tmp_path / "s"))) == before
 
 
@@ -61,6 +63,68 @@ def test_of_two_writers_one_fails(spark, tmp_path):
     assert live(b) == {b"k": b"a"}
 
 
+def test_vacuum_leaves_what_writers_and_readers_need(spark, tmp_path):
+    merge = Merge(thresholds=Thresholds(0.0, 10**9, 0))
+    store = KeyedLog.open(spark, str(tmp_path / "s"), Storage(merge=merge))
+    store.set(b"k", b"1")
+    store.set(b"k", b"2")
+    reader = store.log()
+    n = reader.count()
+    assert store.merge()
+    m = store.manifest()
+    # A writer between its segment and its manifest.
+    store._write_segment(store.log(m), "pending")
+    assert store.vacuum() == [] and reader.count() == n
+    store._commit(m | {"segments": [*m["segments"], "pending"]}, m["version"])
+    m = store.manifest()
+    store._write_segment(store.log(m), "late")
+    time.sleep(1.1)
+    gone = store.vacuum(1.0)
+    assert "late" in gone and not set(gone) & set(m["segments"])
+    with pytest.raises(FileNotFoundError):
+        store._commit(m | {"segments": [*m["segments"], "late"]}, m["version"])
+    assert live(store) == {b"k": b"2"} == {b"k": store.get(b"k")}
+
+
+def test_a_store_that_is_opened_has_an_index(spark, tmp_path):
+    merge = Merge(thresholds=Thresholds(0.0, 10**9, 0))
+    conf = Storage(max_file_size=200, merge=merge)
+    rows = [(f"k{i:03}".encode(), bytes([i])) for i in range(60)]
+    with KeyedLog.open(spark, str(tmp_path / "s"), conf) as store:
+        store.set_batch(spark.createDataFrame(rows, "key binary, value binary"))
+        store.delete_batch(spark.createDataFrame([(k,) for k, _ in rows[:10]], "key binary"))
+        assert store.manifest()["index"] is None
+    store = KeyedLog.open(spark, str(tmp_path / "s"), conf)
+    index = store.manifest()["index"]
+    assert len(index["segments"]) == 2 and store._index(store.manifest()).count() == 50
+    store.set(b"k000", b"again")
+    store.set(b"k020", b"anew")
+    expected = dict(rows[10:]) | {b"k000": b"again", b"k020": b"anew"}
+    asked = spark.createDataFrame([(k, "x") for k, _ in rows] + [(b"none", "x"), (None, "x"), (b"k020", "x")], "key binary, found string")
+    for step in range(3):
+        got = store.get_batch(asked).collect()
+        assert len(got) == 63 and all((bytes(r["value"]) if r["found"] else None) == (expected.get(bytes(r["key"])) if r["key"] is not None else None) for r in got)
+        assert [store.get(k) for k in (b"k000", b"k005", b"k030")] == [b"again", None, b"\x1e"]
+        if step == 0:
+            store = KeyedLog.open(spark, str(tmp_path / "s"), conf)
+            assert store.manifest()["index"]["name"] != index["name"] and len(store.manifest()["index"]["segments"]) == 4
+        if step == 1:
+            assert store.merge() and store.manifest()["index"] is not None and store.hints().count() > 0
+    plan = store.get_batch(asked)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
+    m = store.manifest()
+    here = store._segments(m["segments"]).where("writer = 0 AND fileid = 3")
+    assert "PartitionFilters: [isnotnull(writer" in here._jdf.queryExecution().executedPlan().toString()
+
+
+def test_another_log_is_loaded(spark, tmp_path):
+    rows = random_log(3)
+    store = KeyedLog.open(spark, str(tmp_path / "s"), Storage(max_file_size=100, sync="always"))
+    store.load(spark.createDataFrame(rows, LOG_DDL))
+    assert live(store) == {k: r[5] for k, r in state(rows).items()}
+    assert store.log().count() == len(set(rows))
+
+
 def test_a_batch_of_commands_is_applied_once(spark, tmp_path):
     store = KeyedLog.open(spark, str(tmp_path / "s"))
     one, two = random_commands(1, 40), [(s + 40, *r) for s, *r in random_commands(2, 40)]
