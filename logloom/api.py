@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.config import Storage
+from logloom.functions.scalars import now_nanos
 from logloom.manifests import ConflictError, Manifests
 from logloom.operators import compaction, consolidate, log, replay, stats
 from logloom.schema import HINT, LOG
@@ -170,7 +171,7 @@ class KeyedLog:
         last = F.max(F.struct(seq.alias("seq"), value.alias("value"))).alias("last")
         once = rows.where("key IS NOT NULL").groupBy("key").agg(last)
         try:
-            self._append(once.select("last.seq", F.lit(time.time_ns()).alias("tstamp"), "key", "last.value"))
+            self._append(once.select("last.seq", now_nanos().alias("tstamp"), "key", "last.value"))
         except Exception as e:
             if NULL_VALUE in str(e):
                 raise ValueError(NULL_VALUE) from e
@@ -195,7 +196,7 @@ class KeyedLog:
         live = compaction.newest_of_index(self._index(m).join(asked, "key", "left_semi")).where("NOT tombstone")
         n = log.del_count(asked, live).first()["deleted"]
         gone = F.lit(None).cast("binary").alias("value")
-        self._append(asked.select(F.lit(0).alias("seq"), F.lit(time.time_ns()).alias("tstamp"), "key", gone))
+        self._append(asked.select(F.lit(0).alias("seq"), now_nanos().alias("tstamp"), "key", gone))
         self._forget(folder)
         return n
 
@@ -233,7 +234,7 @@ class KeyedLog:
         held = self.get_batch(commands.select(F.explode("keys").alias("key")).distinct()).where("found").select("key", "value")
         replay.replay(commands, held).write.mode("overwrite").parquet(replies_to)
         changes = replay.final_changes(commands)
-        self._append(changes.select("seq", F.lit(time.time_ns()).alias("tstamp"), "key", "value"), number)
+        self._append(changes.select("seq", now_nanos().alias("tstamp"), "key", "value"), number)
 
     def stats(self) -> DataFrame:
         return stats.segment_stats(self.log())

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import dataclasses
+import logging
 import os
 import tomllib
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+log = logging.getLogger(__name__)
+#: Settings that Spark's own replace: its task slots, its file caches, and that there is no socket to listen on.
+WITHOUT_EFFECT = {
+    "net": ("host", "port"),
+    "storage": ("concurrency", "readers_cache_size"),
+}
 #: Environment variables begin so; the parts of a setting's name are joined by two underscores.
 PREFIX = "LOGLOOM"
 MIB = 1024 * 1024
@@ -17,6 +24,7 @@ class ConfigError(ValueError):
     """A setting that is unknown, incomplete or out of range."""
 
 
+# The defaults of all settings below.
 @dataclass(frozen=True)
 class Net:
     host: str = "0.0.0.0"
@@ -143,4 +151,8 @@ def load(path: str | None = None, environ: Mapping[str, str] | None = None) -> C
     tree = _overlay(tree, os.environ if environ is None else environ)
     if path and not {"net", "storage"} <= set(tree):
         raise ConfigError("net and storage are required")
+    for part, names in WITHOUT_EFFECT.items():
+        for name in names:
+            if name in tree.get(part, {}):
+                log.warning("%s.%s has no effect: Spark's own settings take its place", part, name)
     return _build(Config, tree, "config")

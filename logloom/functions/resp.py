@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def encode_reply(kind: Column, int_val: Column, bytes_val: Column) -> Column:
 
 
 class FrameError(Exception):
-    """``kind``: Incomplete, BadEncoding, NotInteger or NotUtf8; ``text``: what couldn't be read."""
+    """``kind``: Incomplete, BadEncoding, NotInteger, NotUtf8 or ConnectionReset; ``text``: what couldn't be read."""
 
     def __init__(self, kind: str, text: str = ""):
         super().__init__(f"{kind}: {text}" if text else kind)
@@ -153,12 +155,210 @@ def decode(data: bytes, at: int = 0) -> tuple[list[tuple], int]:
             return rows, at
 
 
-def decode_stream(data: bytes) -> Iterator[list[tuple]]:
-    """Frame after frame of a byte stream. Raises what the first bad one has; a cut-off end is Incomplete."""
-    at = 0
-    while at < len(data):
-        rows, at = decode(data, at)
-        yield rows
+class FrameReader:
+    """Takes the frames off the bytes of a connection as they come; what isn't a whole frame yet is kept for later."""
+
+    def __init__(self, rest: bytes = b""):
+        self.rest = rest
+
+    def push(self, data: bytes) -> Iterator[tuple[bytes, list[tuple]]]:
+        """The bytes and the rows of each frame that is whole now. A frame that can't be right raises, and the rest is kept."""
+        self.rest += data
+        at = 0
+        try:
+            while at < len(self.rest):
+                try:
+                    rows, end = decode(self.rest, at)
+                except FrameError as e:
+                    if e.kind != "Incomplete":
+                        raise
+                    return
+                frame, at = self.rest[at:end], end
+                yield frame, rows
+        finally:
+            self.rest = self.rest[at:]
+
+    def close(self) -> None:
+        """The connection ended. Within a frame, that is an error."""
+        if self.rest:
+            raise FrameError("ConnectionReset")
+
+
+READ = "connection string, frame_no bigint, status string, frame binary"
+
+
+def frames_of_chunks(reader: FrameReader, number: int, chunks: Iterator[bytes], ended: bool) -> Iterator[tuple[int, str, bytes]]:
+    """``frame_no, status, frame`` of the chunks of one connection: ``frame`` for each whole frame, then, if the connection
+    ended or can't go on, ``end``, ``ConnectionReset`` or the kind of what is wrong."""
+    try:
+        for chunk in chunks:
+            for frame, _ in reader.push(chunk):
+                yield number, "frame", frame
+                number += 1
+        if ended:
+            reader.close()
+            yield number, "end", b""
+    except FrameError as e:
+        yield number, e.kind, reader.rest
+
+
+def read_frames(chunks: DataFrame, connection: str = "connection", order: str = "n", data: str = "bytes") -> DataFrame:
+    """``connection, frame_no, status, frame``: the frames of each connection, whose bytes come as chunks cut anywhere.
+
+    Each connection is read by ``order`` until it ends, or until what can't be a frame, after which nothing of it is read. Its
+    chunks stream through one task, since where a frame begins depends on all before it; connections are spread. NULL bytes
+    are no bytes. Rows without a connection are left out.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ready = (
+        chunks.where(F.col(connection).isNotNull())
+        .select(F.col(connection).cast("string").alias("connection"), F.col(order).alias("n"), F.col(data).alias("bytes"))
+        .repartition("connection").sortWithinPartitions("connection", "n").select("connection", "bytes")
+    )
+    arrow = to_arrow_schema(_parse_datatype_string(READ))
+
+    def run(batches):
+        now, reader, number, over = None, None, 0, True
+        out: list[tuple] = []
+
+        def take(chunks, ended):
+            nonlocal number, over
+            for row in frames_of_chunks(reader, number, chunks, ended):
+                out.append((now, *row))
+                number, over = row[0] + 1, row[1] != "frame"
+
+        for batch in batches:
+            for name, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != now:
+                    if not over:
+                        take([], True)
+                    now, reader, number, over = name, FrameReader(), 0, False
+                if not over:
+                    take([chunk or b""], False)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, arrow, strict=True)], schema=arrow)
+            out.clear()
+        if not over:
+            take([], True)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ready.mapInArrow(run, READ)
+
+
+KINDS = ["simple", "error", "integer", "bulk", "null", "array"]
+#: So many items of each message are read side by side; longer messages are read one by one.
+STEPS = 64
+
+
+@dataclass
+class Flat:
+    """Frames of many messages as arrays, a row for each frame by message and place: its message, its place in the array that it
+    is in (-1 outside), its kind, its integer, where its bytes are, and how many items it has. ``slow``: messages not read."""
+
+    of: np.ndarray
+    place: np.ndarray
+    kind: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    slow: np.ndarray
+
+
+def _numbers(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers written in some runs of bytes, and which of them are sure: a sign or none, then 1 to 18 digits."""
+    first = data[np.minimum(begin, len(data) - 1)]
+    signed = ((first == 43) | (first == 45)) & (begin < end)
+    at = begin + signed
+    n = end - at
+    sure = (n >= 1) & (n <= 18)
+    value = np.zeros(len(begin), np.int64)
+    for k in range(int(n[sure].max(initial=0))):
+        inside = sure & (k < n)
+        digit = data[np.where(inside, at + k, 0)].astype(np.int64) - 48
+        sure &= ~inside | ((digit >= 0) & (digit <= 9))
+        value = np.where(inside, value * 10 + digit, value)
+    return np.where(signed & (first == 45), -value, value), sure
+
+
+def decode_flat(data: np.ndarray, offsets: np.ndarray) -> Flat:
+    """Decodes the frames that messages begin with, all messages side by side, one frame of each at a time.
+
+    Read are whole frames that are right: texts in ASCII, integers of up to 18 digits, bulk strings, the null frame, and arrays of
+    these. A message with anything else, and one with more items than ``STEPS``, is left to ``decode``.
+    """
+    total, m = len(data), len(offsets) - 1
+    data = np.concatenate([data, np.zeros(4, np.uint8)])
+    breaks = np.append(np.flatnonzero(data[:total] == 13), total)
+    bad = np.concatenate([[0], np.cumsum((data[:total] == 10) | (data[:total] >= 128))])
+    stop, at = offsets[1:], offsets[:-1].copy()
+    slow = np.zeros(m, bool)
+    left = np.ones(m, np.int64)
+    rows: list[tuple] = []
+    lanes, step = np.arange(m), -1
+    while len(lanes):
+        p, e = at[lanes], stop[lanes]
+        ok = p < e
+        mark = np.where(ok, data[np.minimum(p, total)], 0)
+        line = breaks[np.searchsorted(breaks, np.minimum(p + 1, total))]
+        whole = ok & (line + 1 < e)
+        line = np.where(whole, line, np.minimum(p + 1, total))
+        value, sure = _numbers(data, p + 1, line)
+        kind = np.full(len(lanes), -1)
+        begin, end, following = p + 1, line.copy(), line + 2
+        text = whole & ((mark == 43) | (mark == 45)) & (bad[line] == bad[np.minimum(p + 1, total)])
+        kind[text] = np.where(mark[text] == 43, 0, 1)
+        kind[whole & (mark == 58) & sure] = 2
+        null = ok & (mark == 36) & (p + 5 <= e) & (data[np.minimum(p + 1, total)] == 45) & (data[np.minimum(p + 2, total)] == 49) & (data[np.minimum(p + 3, total)] == 13)
+        fits = whole & (mark == 36) & sure & (value >= 0) & (data[np.minimum(p + 1, total)] != 45) & (value <= total)
+        fits &= line + 2 + np.where(fits, value, 0) + 2 <= e
+        begin = np.where(fits, line + 2, begin)
+        end = np.where(fits, line + 2 + np.where(fits, value, 0), end)
+        following = np.where(fits, end + 2, np.where(null, p + 5, following))
+        kind[fits], kind[null] = 3, 4
+        if step < 0:
+            kind[whole & (mark == 42) & sure & (value >= 0)] = 5
+        good = kind >= 0
+        slow[lanes[~good]] = True
+        own = lanes[good]
+        kind, value, begin, end = kind[good], value[good], begin[good], end[good]
+        rows.append((own, np.full(len(own), step), kind, value, begin, end))
+        at[own] = following[good]
+        left[own] = np.where(kind == 5, value, left[own] - 1)
+        lanes, step = own[left[own] > 0], step + 1
+        if step >= STEPS:
+            slow[lanes] = True
+            break
+    of, place, kind, value, begin, end = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 6
+    keep = ~slow[of]
+    of, place, kind, value, begin, end = (x[keep] for x in (of, place, kind, value, begin, end))
+    order = np.lexsort([place, of])
+    return Flat(*(x[order] for x in (of, place, kind, value, begin, end)), slow)
+
+
+def _message_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, valid: np.ndarray):
+    """Some runs of bytes as an Arrow column, NULL where not valid."""
+    import pyarrow as pa
+
+    n = np.where(valid, end - begin, 0)
+    ends = np.cumsum(n)
+    raw = data[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    mask = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [mask, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
 def decode_frames(messages: DataFrame, key: str = "frame_id", data: str = "bytes") -> DataFrame:
@@ -166,7 +366,8 @@ def decode_frames(messages: DataFrame, key: str = "frame_id", data: str = "bytes
 
     Arrays are flattened: a row for the array, then one for each item. A message that can't be
     decoded gives one row of kind ``Incomplete``, ``BadEncoding``, ``NotInteger`` or ``NotUtf8`` with what
-    couldn't be read in ``bytes_val``; NULL is like no bytes, Incomplete.
+    couldn't be read in ``bytes_val``; NULL is like no bytes, Incomplete. The usual messages are decoded side by side as arrays of
+    bytes; only nested, very long and wrong ones go one by one.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -176,17 +377,37 @@ def decode_frames(messages: DataFrame, key: str = "frame_id", data: str = "bytes
 
     def run(batches):
         for batch in batches:
+            raw, offsets = _message_bytes(batch.column(1))
+            flat = decode_flat(raw, offsets)
+            n = len(flat.of)
+            item = (flat.place >= 0).astype(np.int32)
+            paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(item)]).astype(np.int32)), pa.array(flat.place[flat.place >= 0].astype(np.int32)))
+            columns = [
+                batch.column(0).take(pa.array(flat.of)), paths, pa.array(KINDS).take(pa.array(flat.kind)),
+                pa.array(flat.number, mask=flat.kind != 2), _slices(raw, flat.begin, flat.end, np.isin(flat.kind, (0, 1, 3))),
+                pa.array(flat.number.astype(np.int32), mask=flat.kind != 5),
+            ]
+            if n:
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             out = []
-            for i, message in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in np.flatnonzero(flat.slow).tolist():
+                name = batch.column(0)[i].as_py()
                 try:
-                    out += [(i, *row) for row in decode(message or b"")[0]]
+                    out += [(name, *row) for row in decode(raw[offsets[i] : offsets[i + 1]].tobytes())[0]]
                 except FrameError as e:
-                    out.append((i, [], e.kind, None, e.text.encode(), None))
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+                    out.append((name, [], e.kind, None, e.text.encode(), None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(run, FRAMES)
 
 
+def check_frames(messages: DataFrame, key: str = "frame_id", data: str = "bytes") -> DataFrame:
+    """``frame_id, status``: whether each message begins with a whole frame, ``OK``, or what is wrong with it."""
+    frames = decode_frames(messages, key, data).where(F.size("path") == 0)
+    return frames.select("frame_id", F.when(F.col("kind").isin(KINDS), "OK").otherwise(F.col("kind")).alias("status"))
+
+
 def parse_commands(messages: DataFrame, key: str = "seq", data: str = "bytes") -> DataFrame:
     """``seq, op, keys, value, error``: the command in each message, or what is wrong with it.
 
@@ -200,17 +421,33 @@ def parse_commands(messages: DataFrame, key: str = "seq", data: str = "bytes") -
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, offsets = _message_bytes(batch.column(1))
+            flat = decode_flat(raw, offsets)
+            item = flat.place >= 0
+            n = np.bincount(flat.of[item], minlength=batch.num_rows)
+            arrays = np.zeros(batch.num_rows, bool)
+            arrays[flat.of[~item]] = flat.kind[~item] == 5
+            values = _slices(raw, flat.begin[item], flat.end[item], flat.kind[item] == 3)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            quick = np.flatnonzero(~flat.slow)
+            if len(quick):
+                parts = pa.ListArray.from_arrays(ends, values, mask=pa.array(~arrays))
+                take = pa.array(quick)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), parts.take(take), pa.nulls(len(quick), pa.string())], schema=arrow)
             out = []
-            for i, message in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts, fault = None, None
+            for i in np.flatnonzero(flat.slow).tolist():
+                own, fault = None, None
                 try:
-                    frames = decode(message or b"")[0]
+                    frames = decode(raw[offsets[i] : offsets[i + 1]].tobytes())[0]
                     if frames[0][1] == "array":
-                        parts = [f[3] if f[1] == "bulk" else None for f in frames[1:] if len(f[0]) == 1]
+                        own = [f[3] if f[1] == "bulk" else None for f in frames[1:] if len(f[0]) == 1]
                 except FrameError as e:
                     fault = str(e)
-                out.append({"seq": i, "parts": parts, "fault": fault})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out.append((batch.column(0)[i].as_py(), own, fault))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     parts = F.col("parts")
     parsed = rows.mapInArrow(run, "seq bigint, parts array<binary>, fault string")

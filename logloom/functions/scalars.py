@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,8 @@ def in_window(hour: Column | str, start: int, end: int) -> Column:
 
 
 def now_nanos() -> Column:
-    """The time in nanoseconds since the epoch; Spark's clock gives microseconds."""
-    return F.unix_micros(F.current_timestamp()) * F.lit(1000)
+    """The time of the call in nanoseconds since the epoch; Spark's own clock gives microseconds."""
+    return F.lit(time.time_ns())
 
 
 def jitter_bounds(interval: Column | str, jitter: Column | str) -> tuple[Column, Column]:

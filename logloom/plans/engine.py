@@ -271,6 +271,50 @@ def resp_decode_commands(spark: SparkSession, d: str) -> DataFrame:
     return frames.select(F.col("frame_id").alias("seq"), F.get("path", F.lit(0)).alias("place"), F.col("bytes_val").cast("string").alias("text"))
 
 
+def _cut_commands(spark: SparkSession, d: str) -> DataFrame:
+    """``user, seq, frame, size, cut``: a connection for each user, whose commands are sent in pieces that end anywhere within a frame."""
+    commands = _commands(spark, d, True).withColumn("user", F.regexp_extract(F.get("keys", F.lit(0)).cast("string"), "^(user:[0-9]+)", 1))
+    sent = commands.select("user", "seq", resp.encode_command(_parts(commands)).alias("frame")).withColumn("size", F.octet_length("frame"))
+    return sent.withColumn("cut", F.pmod(F.col("seq") * 7, F.col("size") + 1).cast("int"))
+
+
+def resp_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the first bytes of each command are a whole frame."""
+    cut = _cut_commands(spark, d).select("seq", F.expr("substring(frame, 1, cut)").alias("bytes"))
+    return resp.check_frames(cut, "seq").select(F.col("frame_id").alias("seq"), "status")
+
+
+def resp_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that can't be right, each in one of six ways, and what is said of them."""
+    n = F.col("event_id").cast("string")
+    messages = [
+        F.encode(F.concat(F.lit(":"), n, F.lit("x\r\n")), "UTF-8"), F.encode(F.concat(F.lit("~"), n, F.lit("\r\n")), "UTF-8"),
+        F.encode(F.concat(F.lit(":"), n, F.lit("0" * 19 + "\r\n")), "UTF-8"), F.encode(F.concat(F.lit("$-3\r\n"), n), "UTF-8"),
+        F.concat(F.lit(bytearray(b"*1\r\n+")), F.encode(n, "UTF-8"), F.lit(bytearray(b"\xfe\r\n"))), F.encode(F.concat(F.lit("*-"), n, F.lit("\r\n")), "UTF-8"),
+    ]
+    rows = table(spark, d, "events").where("event_id > 0").select("event_id", F.element_at(F.array(*messages), (F.pmod("event_id", F.lit(6)) + 1).cast("int")).alias("bytes"))
+    said = F.when(F.col("kind") == "NotInteger", F.col("bytes_val").cast("string"))
+    return resp.decode_frames(rows, "event_id").select(F.col("frame_id").alias("seq"), "kind", said.alias("text"))
+
+
+def connection_frames(spark: SparkSession, d: str) -> DataFrame:
+    """What connections send, put together again from pieces that hold the end of one command and the begin of the next."""
+    own = Window.partitionBy("user").orderBy("seq")
+    before = F.lag(F.expr("substring(frame, cut + 1)")).over(own)
+    pieces = _cut_commands(spark, d).select("user", "seq", F.concat(F.coalesce(before, F.lit(bytearray(b""))), F.expr("substring(frame, 1, cut)")).alias("bytes"))
+    return resp.read_frames(pieces, "user", "seq").select("connection", "frame_no", "status", *_h("frame"))
+
+
+def reply_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of which three in four were changed on their way, and what a client says of them."""
+    ops = _commands(spark, d).select("seq", "op")
+    way = F.pmod("seq", F.lit(4))
+    kind = F.when(way == 1, "error").when(way == 3, "simple").when(way != 2, F.col("kind"))
+    value = F.when(way == 1, F.encode(F.concat(F.lit("no "), F.col("op")), "UTF-8")).when(way == 3, F.lit(bytearray(b"OK"))).otherwise(F.col("bytes_val"))
+    said = replay.replay(_commands(spark, d)).join(ops, "seq").select("seq", "op", kind.alias("kind"), value.alias("bytes_val"))
+    return said.select("seq", F.coalesce(resp.reply_error(F.col("op"), F.col("kind"), F.col("bytes_val")), F.lit("OK")).alias("outcome"))
+
+
 def wire_replay(spark: SparkSession, d: str) -> DataFrame:
     """Messages in, messages out: commands are decoded, checked, run, and their replies encoded."""
     commands = _commands(spark, d)
@@ -302,7 +346,7 @@ QUERIES = {
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, merged_places, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
-        resp_decode, resp_decode_commands, wire_replay, cli_render, backoff_schedule, jitter_bounds,
+        resp_decode, resp_decode_commands, resp_check, resp_faults, connection_frames, reply_checks, wire_replay, cli_render, backoff_schedule, jitter_bounds,
     )
 }
 
@@ -384,6 +428,14 @@ _ARGS = (
   UNION ALL SELECT seq, 2, value FROM commands WHERE op = 'SET'
 )"""
 )
+_FRAMES = (
+    _ARGS
+    + """, texts AS (
+  SELECT a.seq, any_value(c.user) AS user, '*' || count(*) || chr(13) || chr(10) || string_agg('$' || octet_length(encode(a.text)) || chr(13) || chr(10)
+    || a.text || chr(13) || chr(10), '' ORDER BY a.place) AS text
+  FROM args a JOIN commands c ON c.seq = a.seq GROUP BY a.seq
+), frames AS (SELECT *, octet_length(encode(text)) AS size FROM texts)"""
+)
 _RECOVERY = """
 WITH data AS (SELECT DISTINCT fileid, pos, len, tstamp, key, value IS NULL AS tombstone FROM log_entries),
 own AS (SELECT DISTINCT fileid, pos, len, tstamp, key, false AS tombstone FROM hint_entries WHERE fileid IN (SELECT fileid FROM data)),
@@ -481,6 +533,23 @@ FROM checked""",
   ELSE '$' || octet_length(encode(text)) || chr(13) || chr(10) || text END || chr(13) || chr(10))) AS frame_hex FROM replies""",
     "resp_decode": _REPLIES + " SELECT seq, kind, int_val, text FROM replies",
     "resp_decode_commands": _ARGS + " SELECT seq, place, text FROM args",
+    "resp_check": _FRAMES + " SELECT seq, CASE WHEN seq * 7 % (size + 1) = size THEN 'OK' ELSE 'Incomplete' END AS status FROM frames",
+    "resp_faults": """SELECT event_id AS seq,
+  CASE event_id % 6 WHEN 0 THEN 'NotInteger' WHEN 2 THEN 'NotInteger' WHEN 4 THEN 'NotUtf8' ELSE 'BadEncoding' END AS kind,
+  CASE event_id % 6 WHEN 0 THEN event_id || 'x' WHEN 2 THEN event_id || repeat('0', 19) END AS text
+FROM events WHERE event_id > 0""",
+    "connection_frames": _FRAMES
+    + """, placed AS (
+  SELECT *, row_number() OVER w - 1 AS no, seq * 7 % (size + 1) AS cut, lead(seq) OVER w IS NULL AS last
+  FROM frames WINDOW w AS (PARTITION BY user ORDER BY seq)
+), whole AS (SELECT * FROM placed WHERE NOT last OR cut = size), ends AS (SELECT * FROM placed WHERE last)
+SELECT user AS connection, no AS frame_no, 'frame' AS status, hex(encode(text)) AS frame_hex FROM whole
+UNION ALL SELECT user, no + CASE WHEN cut = size THEN 1 ELSE 0 END, CASE WHEN cut IN (0, size) THEN 'end' ELSE 'ConnectionReset' END,
+  CASE WHEN cut = size THEN '' ELSE hex(encode(left(text, CAST(cut AS INT)))) END FROM ends""",
+    "reply_checks": _REPLIES
+    + """ SELECT r.seq, CASE r.seq % 4 WHEN 1 THEN 'Storage: no ' || c.op WHEN 2 THEN 'ConnectionReset'
+  WHEN 3 THEN CASE WHEN c.op = 'SET' THEN 'OK' ELSE 'BadFrame' END ELSE 'OK' END AS outcome
+  FROM replies r JOIN commands c ON c.seq = r.seq""",
     "cli_render": _REPLIES
     + """ SELECT seq, CASE kind WHEN 'null' THEN '(nil)' WHEN 'integer' THEN '(integer) ' || int_val ELSE '"' || text || '"' END AS shown
   FROM replies""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,11 @@ def serve(stream: DataFrame, store: KeyedLog, replies: str, checkpoint: str, **t
 
     Replies of batch ``n`` go to ``replies/batch=n``. The store remembers the last batch applied with its
     changes, so a batch that is run again after a failure changes nothing and replies the same.
-    DEL may name several keys. Within a batch commands run by ``seq``; ``trigger`` is as for ``writeStream.trigger``.
+    DEL may name several keys. Within a batch commands run by ``seq``; ``trigger`` is as for ``writeStream.trigger``. Without it
+    the store's ``sync`` says when changes must be on disk: at so many milliseconds, or else as soon as each batch ends.
     """
+    if not trigger and isinstance(store.conf.sync, int):
+        trigger = {"processingTime": f"{store.conf.sync} milliseconds"}
 
     def run(batch: DataFrame, number: int) -> None:
         store.apply(batch, f"{replies}/batch={number}", number)
@@ -26,6 +30,16 @@ def serve(stream: DataFrame, store: KeyedLog, replies: str, checkpoint: str, **t
     return query.trigger(**trigger).start() if trigger else query.start()
 
 
+def stop_gracefully(query: StreamingQuery, seconds: float | None = None) -> bool:
+    """Ends a stream after what has come so far is answered; false if that took longer than ``seconds``, and it was stopped then."""
+    done = threading.Thread(target=query.processAllAvailable, daemon=True)
+    done.start()
+    done.join(seconds)
+    query.stop()
+    query.awaitTermination()
+    return not done.is_alive()
+
+
 class _Holder(StatefulProcessor):
     """Keeps the value of one key and answers its commands by ``seq``."""
 
