@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from logloom.manifests import Manifests
 
-#: About so many ranges of file ids have fingerprints of their own.
-PARTS = 1024
+#: At most so many ranges of file ids have fingerprints of their own, or twice as many after some time.
+PARTS = 16_384
+#: So many neighbouring ranges are stored in one partition.
+SHELF = 128
 #: So many stored sets of read records are rewritten as one.
 MOST_SETS = 16
 
@@ -20,20 +22,24 @@ PRINTS = "part bigint, n bigint, high bigint, mid bigint, low bigint"
 SUMS = ("n", "high", "mid", "low")
 
 
-def row_hash_sums(columns: list[str]) -> list[Column]:
-    """``n, high, mid, low``: the count of rows and the sums of three pieces of a 64-bit hash of each row.
+def row_hash(columns: list[str]) -> Column:
+    """A 64-bit hash of a row. NULL is a value like any other."""
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
+def hash_sums(h: Column) -> list[Column]:
+    """``n, high, mid, low``: the count of rows and the sums of three pieces of their hashes.
 
     The sums don't depend on the order of rows, and those of two sets of rows add up. A piece has at most 22 bits, so
-    they hold for 2^41 rows. NULL is a value like any other.
+    they hold for 2^41 rows.
     """
-    h = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
     pieces = (F.shiftrightunsigned(h, 43), F.shiftrightunsigned(h, 21).bitwiseAND((1 << 22) - 1), h.bitwiseAND((1 << 21) - 1))
     return [F.count("*").alias("n"), *(F.sum(p).alias(name) for p, name in zip(pieces, SUMS[1:], strict=True))]
 
 
 def fingerprints(rows: DataFrame, part: str, columns: list[str]) -> DataFrame:
     """``part, n, high, mid, low`` of each partition: its row count and sums over its row hashes."""
-    return rows.select(F.col(part).alias("part"), *[c for c in columns if c != "part"]).groupBy("part").agg(*row_hash_sums(columns))
+    return rows.select(F.col(part).alias("part"), row_hash(columns).alias("h")).groupBy("part").agg(*hash_sums(F.col("h")))
 
 
 def added_up(prints: DataFrame) -> DataFrame:
@@ -168,14 +174,15 @@ class UnreadRecords:
     A record is a pair of ``key`` and ``tstamp``, NULL being a value like others; merges copy records into other files. Rows
     without ``fileid`` or ``pos`` have no position and are left out. What is stored below ``root`` between runs:
 
-    * the fingerprints of each partition of the log, as the last run that counts saw it. Partitions are ranges of file
-      ids, about ``parts`` of them: when there are more than twice as many, each two become one, and their fingerprints add up;
+    * the fingerprints of each part of the log, as the last run that counts saw it. Parts are ranges of file
+      ids, at most ``parts`` of them: when there are more than twice as many, each two become one, and their fingerprints add up;
     * the records read so far, as the sets that each run brought out.
 
-    A run takes fingerprints of the log as it is (one aggregate, a row for each partition is shuffled), and only partitions
-    that differ from the stored ones are read: their ranges of file ids, of which there are no more than partitions, are
-    filters of the scan. The rows of a changed partition are stored, each partition replaced as a whole by dynamic
-    partition overwrite. What is in them is made one row for each record and held against the records read so far.
+    A run takes fingerprints of the log as it is (one aggregate, a row for each part and task is shuffled), and only parts
+    that differ from the stored ones are read: their numbers, of which there are no more than parts, are
+    filters of the scan. The rows of changed parts are stored, ``SHELF`` neighbouring parts in a partition, and each partition is
+    replaced as a whole by dynamic partition overwrite. What is in them is made one row for each record and held against the
+    records read so far.
 
     The new records, the new fingerprints and what was read count together, by one manifest, or not at all. A run that fails before
     changes nothing that counts, and the next one brings the same records out again. Of two runs at once the later fails.
@@ -183,33 +190,21 @@ class UnreadRecords:
 
     COLUMNS = ["fileid", "pos", "key", "tstamp"]
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
-        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS, shelf: int = SHELF):
+        self.spark, self.root, self.parts, self.shelf = spark, root.rstrip("/"), parts, shelf
         self._manifests = Manifests(spark, f"{self.root}/manifests")
 
-    def _rows(self, log: DataFrame) -> DataFrame:
-        return log.where("fileid IS NOT NULL AND pos IS NOT NULL").select(*self.COLUMNS)
-
-    def _part(self, width: int) -> Column:
-        return F.floor(F.col("fileid") / F.lit(width)).cast("bigint")
-
-    def _width(self, rows: DataFrame, now: int | None = None) -> int:
-        """Files in a partition, so that there are at most ``parts`` of them, or twice as many after some time."""
-        low, high = rows.agg(F.min("fileid"), F.max("fileid")).first()
-        span = 1 if low is None else high - low + 1
-        if now is None:
-            return max(1, -(-span // self.parts))
-        while span > 2 * now * self.parts:
-            now *= 2
-        return now
+    def _rows(self, log: DataFrame, width: int) -> DataFrame:
+        part = F.floor(F.col("fileid") / F.lit(width)).cast("bigint")
+        return log.where("fileid IS NOT NULL AND pos IS NOT NULL").select(*self.COLUMNS).withColumn("part", part)
 
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{n}" for n in names])
 
-    def _types(self, rows: DataFrame) -> str:
-        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    def _types(self, log: DataFrame) -> str:
+        kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
         return ", ".join(f"{c} {kinds[c]}" for c in ("key", "tstamp", "fileid", "pos"))
 
     def _new(self) -> str:
@@ -218,54 +213,65 @@ class UnreadRecords:
     def adopt(self, log: DataFrame, marks: DataFrame, ledger: DataFrame) -> None:
         """Begins with what other jobs have read: by ``marks`` how far, by ``ledger`` which of them succeeded.
 
-        The rows that they read are read once. Their sets of records carry sums of row hashes, from which the fingerprints follow.
+        The rows that they read are read once, and stored as a set of records with their row hashes, from which the fingerprints
+        follow. Nothing but these is shuffled.
         """
         number, body = self._manifests.newest()
         if body is not None:
             raise ValueError(f"{self.root} has its own runs already")
-        rows = self._rows(log)
-        width = self._width(rows)
-        seen = rows.join(read_so_far(marks, ledger), "fileid").where("pos <= upto").withColumn("part", self._part(width))
+        upto = read_so_far(marks, ledger)
+        low, high = upto.agg(F.min("fileid"), F.max("fileid")).first()
+        width = 1 if low is None else max(1, -(-(high - low + 1) // self.parts))
         name, prints = self._new(), self._new()
-        sums = seen.groupBy("part", "key", "tstamp").agg(*row_hash_sums(self.COLUMNS))
-        sums.write.parquet(f"{self.root}/read/{name}")
-        added_up(self._read("read", [name], PRINTS)).write.parquet(f"{self.root}/fingerprints/{prints}")
+        seen = self._rows(log, width).join(upto, "fileid").where("pos <= upto")
+        seen.select("part", "key", "tstamp", row_hash(self.COLUMNS).alias("h")).write.parquet(f"{self.root}/read/{name}")
+        hashes = self._read("read", [name], "part bigint, h bigint")
+        hashes.groupBy("part").agg(*hash_sums(F.col("h"))).write.parquet(f"{self.root}/fingerprints/{prints}")
         self._manifests.commit({"width": width, "fingerprints": prints, "read": [name], "run": 0}, number)
 
+    def _coarser(self, prints: DataFrame, times: int) -> DataFrame:
+        """Fingerprints of parts that are so many times as wide."""
+        if times == 1:
+            return prints
+        return added_up(prints.withColumn("part", F.floor(F.col("part") / F.lit(times)).cast("bigint")))
+
     def prepare(self, log: DataFrame) -> tuple[DataFrame, dict, int]:
         """A run that doesn't count yet: its new records, the manifest that would make it count, and its number."""
-        rows = self._rows(log)
         number, body = self._manifests.newest()
-        width = self._width(rows, body["width"] if body else None)
-        before = self._read("fingerprints", [body["fingerprints"]] if body else [], PRINTS)
-        if body and width != body["width"]:
-            before = added_up(before.withColumn("part", F.floor(F.col("part") / F.lit(width // body["width"])).cast("bigint")))
+        old = body["width"] if body else 1
         own, out = self._new(), self._new()
-        parted = rows.withColumn("part", self._part(width))
-        fingerprints(parted, "part", self.COLUMNS).write.parquet(f"{self.root}/fingerprints/{own}")
-        now = self._read("fingerprints", [own], PRINTS)
-        changed = changed_parts(now, before)
-        # No more than the partitions, whose number is bounded by the width.
-        parts = [r["part"] for r in changed.collect()]
-        fresh = self._changed_rows(parted, parts, width)
+        fingerprints(self._rows(log, old), "part", self.COLUMNS).write.parquet(f"{self.root}/fingerprints/{own}")
+        now, before = (self._read("fingerprints", names, PRINTS) for names in ([own], [body["fingerprints"]] if body else []))
+        low, high = now.agg(F.min("part"), F.max("part")).first()
+        times = 1
+        while low is not None and high // times - low // times + 1 > 2 * self.parts:
+            times *= 2
+        width = old * times
+        if times > 1:
+            wide = self._new()
+            self._coarser(now, times).write.parquet(f"{self.root}/fingerprints/{wide}")
+            own, now = wide, self._read("fingerprints", [wide], PRINTS)
+        # No more than the parts of both, whose number is bounded by the width.
+        parts = [r["part"] for r in changed_parts(now, self._coarser(before, times)).collect()]
         known = body["read"] if body else []
-        new = self._unknown(fresh, self._read("read", known, self._types(rows)), len(known))
-        new.write.parquet(f"{self.root}/read/{out}")
+        fresh = self._changed_rows(self._rows(log, width), parts, width)
+        self._unknown(fresh, self._read("read", known, self._types(log))).write.parquet(f"{self.root}/read/{out}")
         made = {"width": width, "fingerprints": own, "read": [*known, out], "run": (body or {"run": 0})["run"] + 1, "changed": len(parts)}
-        return self._read("read", [out], self._types(rows)), made, number
+        return self._read("read", [out], self._types(log)), made, number
 
-    def _changed_rows(self, parted: DataFrame, parts: list[int], width: int) -> DataFrame:
-        """The rows of the changed partitions, stored and read again. Ranges of file ids let the scan skip what lies between."""
+    def _changed_rows(self, rows: DataFrame, parts: list[int], width: int) -> DataFrame:
+        """The rows of the changed parts, stored and read again. Ranges of file ids let the scan skip what lies between."""
         near = F.lit(False)
         for low, high in _ranges(parts, width):
             near = near | F.col("fileid").between(low, high)
-        table = IncrementalTable(self.spark, f"{self.root}/parts-{width}")
-        listed = self.spark.createDataFrame([(p,) for p in parts], "part bigint")
-        table.replace(parted.where(near & F.col("part").isin(parts)), listed, "part")
-        stored = table.read(parted.withColumn("_row", F.lit(True)).schema)
-        return stored.where(F.col("part").isin(parts)) if parts else stored.where("false")
-
-    def _unknown(self, fresh: DataFrame, known: DataFrame, sets: int) -> DataFrame:
+        table = IncrementalTable(self.spark, f"{self.root}/parts-{width}-{self.shelf}")
+        changed = rows.where(near & F.col("part").isin(parts)).withColumn("shelf", F.floor(F.col("part") / F.lit(self.shelf)).cast("bigint"))
+        shelves = sorted({p // self.shelf for p in parts})
+        table.replace(changed, self.spark.createDataFrame([(s,) for s in shelves], "part bigint"), "shelf")
+        stored = table.read(changed.withColumn("_row", F.lit(True)).schema)
+        return stored.where(F.col("shelf").isin(shelves)) if shelves else stored.where("false")
+
+    def _unknown(self, fresh: DataFrame, known: DataFrame) -> DataFrame:
         """``key, tstamp, fileid, pos`` of each record of ``fresh`` that isn't known, at its lowest position."""
         records = fresh.groupBy("key", "tstamp").agg(F.min(F.struct("fileid", "pos")).alias("at")).select("key", "tstamp", "at.*")
         same = F.expr("a.key <=> b.key AND a.tstamp <=> b.tstamp")

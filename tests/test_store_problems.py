@@ -116,7 +116,7 @@ def test_runs_bring_out_each_record_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "MOST_SETS", 2)
     rows = random_log(7, files=30, most=6)
     files = sorted({r[0] for r in rows})
-    reader = incremental.UnreadRecords(spark, str(tmp_path / "s"), parts=4)
+    reader = incremental.UnreadRecords(spark, str(tmp_path / "s"), parts=4, shelf=2)
     delivered = {}
     for until in (6, 6, 14, 22, 30):
         have = [r for r in rows if r[0] in files[:until]]
