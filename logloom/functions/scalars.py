@@ -49,6 +49,20 @@ def is_utf8(column: Column | str) -> Column:
     return F.is_valid_utf8(_col(column))
 
 
+def place_number(fileid: str = "fileid", pos: str = "pos") -> Column:
+    """The place of a record as one number, which orders as ``(fileid, pos)`` does; neither is negative.
+
+    Aggregates of numbers fold in hash tables, those of structs only after sorting.
+    """
+    return F.expr(f"CAST({fileid} AS decimal(19, 0)) * 10000000000000000000BD + {pos}").cast("decimal(38, 0)")
+
+
+def place_of(number: Column) -> tuple[Column, Column]:
+    """The file id and the position of such a number."""
+    step = F.expr("10000000000000000000BD")
+    return F.floor(number / step).cast("bigint"), (number % step).cast("bigint")
+
+
 def in_window(hour: Column | str, start: int, end: int) -> Column:
     """Whether an hour lies in a merge window, both ends included. A window doesn't go past midnight."""
     return _col(hour).between(start, end)

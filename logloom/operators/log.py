@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.scalars import record_size
 from logloom.operators.consolidate import close_by_size
-from logloom.operators.replay import with_previous
+from logloom.operators.replay import BLOCK, with_previous
 
 #: Ids that each writer of a batch may use; one that needs more is an error.
 FILES_PER_WRITER = 1 << 20
@@ -189,15 +189,15 @@ def del_count(keys: DataFrame, snap: DataFrame) -> DataFrame:
     return deleted(keys, snap).agg(F.count_if("existed").alias("deleted"))
 
 
-def replaced(log: DataFrame, files: int = 1024) -> DataFrame:
+def replaced(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """``fileid, pos, old_fileid, old_pos``: what each record of a key replaced, NULL if the key wasn't live.
 
-    A key's history is cut into blocks of ``files`` file ids, as in a replay, so a hot key is spread.
+    A key's history is cut into blocks of about ``block`` records of the log, as in a replay, so a hot key is spread.
     """
     at = F.encode(F.concat(F.col("fileid").cast("string"), F.lit(":"), F.col("pos").cast("string")), "UTF-8")
-    op = F.when(F.col("value").isNull(), "DEL").otherwise("SET")
-    rows = scan(log).select(F.col("fileid").alias("seq"), F.col("pos").alias("idx"), op.alias("op"), "key", at.alias("value"))
+    op = F.when(F.col("tombstone"), "DEL").otherwise("SET")
+    rows = index_of(log).select(F.col("fileid").alias("seq"), F.col("pos").alias("idx"), op.alias("op"), "key", at.alias("value"))
     old = F.when(F.col("previous.op") == "SET", F.split(F.col("previous.value").cast("string"), ":"))
-    return with_previous(rows, None, files).select(
+    return with_previous(rows, None, block).select(
         F.col("seq").alias("fileid"), F.col("idx").alias("pos"), F.get(old, F.lit(0)).cast("bigint").alias("old_fileid"), F.get(old, F.lit(1)).cast("bigint").alias("old_pos")
     )

@@ -6,44 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.config import Merge, Thresholds, Triggers
-from logloom.functions.scalars import fragmentation, in_window
-from logloom.operators.consolidate import file_sizes
-from logloom.operators.log import newest
+from logloom.functions.scalars import fragmentation, in_window, place_number, place_of
+from logloom.operators.log import narrow
 
 
 def segment_stats(log: DataFrame) -> DataFrame:
     """``fileid, live_keys, dead_keys, dead_bytes, file_bytes, fragmentation`` of each file.
 
     A record is live if it has a value and is the newest of its key; each tombstone is dead.
-    The live records are few, one for each key at most, so they are counted by file and taken
-    from the totals, and neither a window nor a join gathers a hot key.
     """
-    return _stats(file_sizes(log), newest(log))
+    return index_stats(narrow(log))
 
 
 def index_stats(index: DataFrame) -> DataFrame:
-    """The same of a log's index, which has each record once, with ``tombstone`` instead of its value."""
-    sizes = index.groupBy("fileid").agg(F.count("*").alias("records"), F.coalesce(F.sum("len"), F.lit(0)).alias("bytes"))
-    last = F.max(F.struct("fileid", "pos", "len", "tombstone")).alias("r")
-    return _stats(sizes, index.groupBy("key").agg(last).select("key", "r.*"))
+    """The same of a log's index: its records, as often as they are there, with ``tombstone`` instead of the value.
 
-
-def _stats(sizes: DataFrame, last: DataFrame) -> DataFrame:
-    live = (
-        last.where("NOT tombstone")
-        .groupBy("fileid")
-        .agg(F.count("*").alias("live_keys"), F.coalesce(F.sum("len"), F.lit(0)).alias("live_bytes"))
-    )
-    zero = F.lit(0).cast("bigint")
-    live_keys, live_bytes = F.coalesce("live_keys", zero), F.coalesce("live_bytes", zero)
+    The newest place of each key is folded in hash tables before the shuffle, so that a hot key moves as a row for each task, and
+    then marks the one record that is live. Records are made unique by their places, which spread whatever key they have.
+    """
+    at, gone = F.max(place_number()), F.max(F.when(F.col("tombstone"), place_number()))
+    last = index.groupBy("key").agg(at.alias("at"), gone.alias("gone")).where("gone IS NULL OR gone < at")
+    fileid, pos = place_of(F.col("at"))
+    live = last.select(fileid.alias("fileid"), pos.alias("pos"), F.lit(True).alias("live"))
+    once = index.groupBy("fileid", "pos").agg(F.max("len").alias("len"))
+    dead = F.col("live").isNull()
     return (
-        sizes.join(live, "fileid", "left")
-        .select(
-            "fileid",
-            live_keys.alias("live_keys"),
-            (F.col("records") - live_keys).alias("dead_keys"),
-            (F.col("bytes") - live_bytes).alias("dead_bytes"),
-            F.col("bytes").alias("file_bytes"),
+        once.join(live, ["fileid", "pos"], "left")
+        .groupBy("fileid")
+        .agg(
+            F.count("live").alias("live_keys"),
+            F.count_if(dead).alias("dead_keys"),
+            F.coalesce(F.sum(F.when(dead, F.col("len"))), F.lit(0)).alias("dead_bytes"),
+            F.coalesce(F.sum("len"), F.lit(0)).alias("file_bytes"),
         )
         .withColumn("fragmentation", fragmentation())
     )

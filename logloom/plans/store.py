@@ -91,7 +91,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_totals(spark: SparkSession, d: str) -> DataFrame:
-    totals = heavy.key_totals(table(spark, d, "log_entries"))
+    rows = table(spark, d, "log_entries")
+    totals = heavy.with_newest_times(heavy.key_totals(rows), rows)
     return totals.select(F.hex("key").alias("key_hex"), "records", "bytes", "fileid", "pos", "tstamp")
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from logloom.operators import replay
+from pyspark.sql import functions as F
 
 from tests.helpers import plain
 
@@ -35,10 +36,11 @@ def answers(commands, held):
     return out, held
 
 
-@pytest.mark.parametrize("block", [7, 1000])
+@pytest.mark.parametrize("block", [7, 100, 1000])
 @pytest.mark.parametrize("seed", range(2))
 def test_replay(spark, seed, block):
-    commands = random_commands(seed)
+    # Places are spaced as time stamps are, not by one.
+    commands = [(seq**3 * 10**12 + (1 << 60), *r) for seq, *r in random_commands(seed)]
     df = spark.createDataFrame(random.Random(1).sample(commands, len(commands)), DDL)
     initial = {b"hot": b"first", b"z": b"1"}
     start = spark.createDataFrame(list(initial.items()), "key binary, value binary")
@@ -48,10 +50,21 @@ def test_replay(spark, seed, block):
 
 def test_replay_of_nothing_and_of_odd_commands(spark):
     assert replay.replay(spark.createDataFrame([], DDL)).count() == 0
+    many = spark.createDataFrame([(1, "SET", [b"k", b"l"], b"v"), (2, "GET", [b"k", b"l"], None), (3, "GET", [b"l"], None), (None, "GET", [b"k"], None)], DDL)
+    assert plain(replay.replay(many).collect()) == plain([(1, "simple", None, b"OK"), (2, "bulk", None, b"v"), (3, "null", None, None)])
     odd = spark.createDataFrame([(1, "set", [b"k"], b"v"), (2, None, [b"k"], None), (3, "SET", [b"k"], None), (4, "GET", [b"k"], None), (5, "GET", [], None), (6, "DEL", None, None)], DDL)
     assert plain(replay.replay(odd).collect()) == plain([(3, "simple", None, b"OK"), (4, "bulk", None, b"")])
 
 
+def test_blocks_have_even_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * F.col("id") * F.col("id")).alias("seq"))
+    assert replay.block_of(rows, 1000) is None
+    sizes = [r["count"] for r in rows.groupBy(replay.block_of(rows, 100).alias("b")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 130
+    same = spark.range(500).select(F.lit(7).alias("seq"))
+    assert same.groupBy(replay.block_of(same, 100).alias("b")).count().count() == 1
+
+
 def test_final_changes(spark):
     commands = random_commands(3)
     got = {bytes(r["key"]): r["value"] for r in replay.final_changes(spark.createDataFrame(commands, DDL)).collect()}
