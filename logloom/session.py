@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def get_session(app: str = "logloom", **conf: str) -> SparkSession:
     """A session with the settings that the operators expect; ``conf`` uses ``__`` for dots.
@@ -43,6 +47,34 @@ def shared_root(spark: SparkSession) -> str:
     return made.get().rstrip("/")
 
 
+#: Folders of intermediate results that this process has named, with their sessions.
+_made: list[tuple[SparkSession, str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """The path of a folder not used before, below the shared folder."""
-    return f"{shared_root(spark)}/logloom/{label}-{uuid.uuid4().hex[:12]}"
+    """The path of a folder not used before, below the shared folder.
+
+    What is written there serves one query; ``forget_folders`` deletes it, at the latest when the process ends.
+    """
+    path = f"{shared_root(spark)}/logloom/{label}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(forget_folders)
+    _made.append((spark, path))
+    return path
+
+
+def forget_folders() -> int:
+    """Deletes the folders of intermediate results that this process has made; tables that read them can't be used any more.
+
+    Returns how many were there. A folder whose session has ended stays.
+    """
+    n = 0
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception as e:
+            log.debug("%s stays: %s", path, e)
+    atexit.unregister(forget_folders)
+    return n

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from logloom.session import get_session
+    from logloom.session import forget_folders, get_session
 
     session = get_session(
         "tests",
@@ -21,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    forget_folders()
     session.stop()
