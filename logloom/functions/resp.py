@@ -184,15 +184,51 @@ class FrameReader:
             raise FrameError("ConnectionReset")
 
 
+def command_fault(rows: list[tuple]) -> str | None:
+    """What ``command_error`` says of a decoded frame, for one at a time."""
+    if rows[0][1] != "array":
+        return "BadFrame"
+    if len(rows) == 1:
+        return "BadCommand: "
+    items = [(r[3] if r[1] == "bulk" else None) for r in rows[1:] if len(r[0]) == 1]
+    name, given = items[0], items[1:]
+    if name is None:
+        return "BadFrame"
+    if name not in (b"GET", b"SET", b"DEL"):
+        return f"BadCommand: {name.decode('utf-8', 'replace')}"
+    if not given:
+        return "BadArguments: Keys are empty" if name == b"DEL" else "BadArguments: Key is not given"
+    for key in given if name == b"DEL" else given[:1]:
+        if key is None:
+            return "BadFrame"
+        try:
+            key.decode("utf-8")
+        except UnicodeDecodeError:
+            return "NotUtf8"
+    if name == b"SET":
+        if len(given) == 1:
+            return "BadArguments: Value is not given"
+        if given[1] is None:
+            return "BadFrame"
+    if name != b"DEL" and len(given) > (2 if name == b"SET" else 1):
+        return "BadArguments: Frame contains extra data"
+    return None
+
+
 READ = "connection string, frame_no bigint, status string, frame binary"
 
 
-def frames_of_chunks(reader: FrameReader, number: int, chunks: Iterator[bytes], ended: bool) -> Iterator[tuple[int, str, bytes]]:
+def frames_of_chunks(
+    reader: FrameReader, number: int, chunks: Iterator[bytes], ended: bool, commands: bool = False
+) -> Iterator[tuple[int, str, bytes]]:
     """``frame_no, status, frame`` of the chunks of one connection: ``frame`` for each whole frame, then, if the connection
-    ended or can't go on, ``end``, ``ConnectionReset`` or the kind of what is wrong."""
+    ended or can't go on, ``end``, ``ConnectionReset`` or what is wrong. With ``commands`` a frame that is no right command ends it too."""
     try:
         for chunk in chunks:
-            for frame, _ in reader.push(chunk):
+            for frame, rows in reader.push(chunk):
+                if commands and (wrong := command_fault(rows)):
+                    yield number, wrong, frame
+                    return
                 yield number, "frame", frame
                 number += 1
         if ended:

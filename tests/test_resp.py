@@ -197,6 +197,49 @@ def test_a_stream_of_connections(spark, tmp_path):
     assert {k: sorted(v) for k, v in got.items()} == said
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [b"GET", b"a"], [b"GET"], [b"GET", b"a", b"b"], [b"GET", b"\xfe", b"b"], [b"SET", b"a", b"\xfe"], [b"SET"], [b"SET", b"a"], [b"SET", b"a", b"v", b"x"], [b"SET", b"a", None],
+        [b"SET", None, b"v"], [b"DEL", b"x", b"y"], [b"DEL"], [b"DEL", b"x", b"\xfe"], [b"DEL", None, b"\xfe"], [b"del", b"a"], [b"\xff"], [], [None],
+    ],
+)
+def test_commands_are_checked_alike_one_at_a_time(spark, parts):
+    rows = list(rows_of(("array", [("bulk", p) if p is not None else ("integer", 1) for p in parts])))
+    df = spark.createDataFrame([(parts,)], "p array<binary>")
+    assert resp.command_fault(rows) == df.select(resp.command_error(F.col("p"))).first()[0]
+    assert resp.command_fault([([], "simple", None, b"GET", None)]) == "BadFrame"
+
+
+def test_a_served_connection(spark, tmp_path):
+    from logloom.api import KeyedLog
+    from logloom.streaming import commands, frames
+
+    def sent(*parts):
+        return wire(("array", [("bulk", p) for p in parts]))
+
+    rnd = random.Random(2)
+    talk = {
+        "a": ([sent(b"SET", b"k", b"1"), sent(b"GET", b"k"), sent(b"DEL", b"k", b"none"), sent(b"GET", b"k"), sent(b"SET", b"k", b"")], [b"+OK\r\n", b"$1\r\n1\r\n", b":1\r\n", b"$-1\r\n", b"+OK\r\n"]),
+        "b": ([sent(b"SET", b"own", b"x"), sent(b"get", b"own"), sent(b"SET", b"own", b"never")], [b"+OK\r\n"]),
+        "c": ([sent(b"GET", b"absent")[:-1]], []),
+    }
+    waves = [[], []]
+    for name, (messages, _) in talk.items():
+        for i, c in enumerate(cut_up(rnd, b"".join(messages))):
+            waves[min(i // 2, 1)].append((name, i, c, False))
+    store = KeyedLog.open(spark, str(tmp_path / "s"))
+    for rows in waves:
+        spark.createDataFrame(rows, frames.CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = frames.serve_connections(frames.chunk_files(spark, str(tmp_path / "in")), store, str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert commands.stop_gracefully(query, 120)
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(r["connection"], []).append((r["frame_no"], bytes(r["bytes"])))
+    assert {k: sorted(v) for k, v in got.items()} == {name: list(enumerate(said)) for name, (_, said) in talk.items() if said}
+    assert store.get(b"k") == b"" and store.get(b"own") == b"x"
+
+
 def test_messages_in_a_table(spark):
     rows = [(1, wire(("array", [("integer", 5), ("array", [])]))), (2, b"$9\r\nshort"), (3, None), (4, b":7z\r\n"), (4, "+ü\r\n".encode()), (5, b"*1\r\n$2\r\nab\r\n")]
     df = spark.createDataFrame(rows, "frame_id int, bytes binary").withColumn("kind", F.lit("clash"))
