@@ -16,6 +16,7 @@ from logloom.functions.scalars import now_nanos
 from logloom.manifests import ConflictError, Manifests
 from logloom.operators import compaction, consolidate, log, replay, stats
 from logloom.schema import HINT, LOG
+from logloom.session import ship_package
 
 __all__ = ["ClosedError", "ConflictError", "KeyedLog", "NULL_VALUE"]
 
@@ -46,6 +47,7 @@ class KeyedLog:
     """
 
     def __init__(self, spark: SparkSession, root: str, conf: Storage | None = None):
+        ship_package(spark)
         self.spark, self.root, self.conf = spark, root.rstrip("/"), conf or Storage(path=root)
         self._manifests = Manifests(spark, f"{self.root}/manifests", sync=self.conf.sync == "always")
         self._path, self._fs = self._manifests._path, self._manifests.fs

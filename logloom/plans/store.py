@@ -19,6 +19,19 @@ def p2_store(spark: SparkSession, d: str) -> DataFrame:
     return store.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "tstamp", "change_no")
 
 
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as changes of a table with two fields, of which a change sets those that it has: the value, and who set it.
+
+    A change without a value deletes the row; no change replaces it. So a change that lacks a producer leaves the one before.
+    """
+    feed = table(spark, d, "change_feed")
+    rows = feed.withColumn("producer", F.when(F.pmod("change_no", F.lit(3)) != 0, F.col("producer")))
+    one = changes.distinct_changes(rows, "key", "change_no", "tstamp", ["value", "producer"])
+    fields = {"value": ("value", "value_set"), "producer": ("producer", "producer_set")}
+    out = changes.apply_changes(one, "key", ["tstamp", "change_no"], fields, deletes="NOT value_set")
+    return out.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), "producer")
+
+
 def _unread(spark: SparkSession, d: str) -> DataFrame:
     return incremental.unread_records(
         table(spark, d, "log_entries"), table(spark, d, "run_marks"), table(spark, d, "run_ledger"), new_folder(spark, "unread")
@@ -96,7 +109,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.select(F.hex("key").alias("key_hex"), "records", "bytes", "fileid", "pos", "tstamp")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_store, p3_found, p3_records, p3_runs, p4_found, p4_records, p4_files, p4_sums, p4_small, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_store, p2_fields, p3_found, p3_records, p3_runs, p4_found, p4_records, p4_files, p4_sums, p4_small, p5_found, p5_totals)}
 
 _P2 = """
 WITH one AS (
@@ -150,6 +163,16 @@ WITH one AS (SELECT DISTINCT fileid, pos, len, tstamp, key FROM log_entries)
 ORACLE = {
     "p2_found": _P2.format("change_no"),
     "p2_store": _P2.format("hex(value) AS value_hex, tstamp, change_no"),
+    "p2_fields": """
+WITH one AS (
+  SELECT key, change_no, min(tstamp) AS tstamp, min(value) AS value, min(CASE WHEN change_no % 3 <> 0 THEN producer END) AS producer
+  FROM change_feed WHERE key IS NOT NULL AND change_no IS NOT NULL GROUP BY key, change_no
+), placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tstamp, change_no) AS n FROM one),
+gone AS (SELECT key, max(n) FILTER (WHERE value IS NULL) AS n FROM placed GROUP BY key),
+after AS (SELECT p.* FROM placed p JOIN gone g ON g.key = p.key WHERE g.n IS NULL OR p.n > g.n)
+SELECT hex(key) AS key_hex, hex(arg_max(value, n)) AS value_hex, arg_max(producer, n) FILTER (WHERE producer IS NOT NULL) AS producer
+FROM after GROUP BY key
+""",
     "p3_found": _P3.format("r.fileid, r.pos"),
     "p3_runs": _P3.format("r.fileid, r.pos"),
     "p3_records": _P3.format("hex(r.key) AS key_hex, r.tstamp, r.fileid, r.pos"),

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import logging
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 log = logging.getLogger(__name__)
+#: Applications whose executors have this package.
+_shipped: set[str] = set()
 
 
 def get_session(app: str = "logloom", **conf: str) -> SparkSession:
@@ -28,6 +33,27 @@ def get_session(app: str = "logloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    # The driver serves the file as long as the application runs.
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/{name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    whole = os.path.join(at, f)
+                    z.write(whole, os.path.join(name, os.path.relpath(whole, here)))
+    sc.addPyFile(archive)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
