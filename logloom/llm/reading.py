@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from logloom.llm import boosting
 from logloom.llm.tokens import parts_of
 from logloom.llm.transducer import CHUNK, chunks
+from logloom.session import ship_package
 
 #: The most labelled documents that the model is fitted on: those with the lowest hash of their id.
 MAX_LABELLED = 20_000
@@ -363,6 +364,7 @@ def profiles(docs: DataFrame, labels: DataFrame, asked: Column | None = None, mo
     ``asked``: a condition on ``docs``, by default all rows. What is stored of this serves to train and to predict, so that
     each text is read once. Only the ids of at most ``most`` labelled documents are broadcast. A map without a shuffle.
     """
+    ship_package(docs.sparkSession)
     wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     mine = docs.select("doc_id", "source", "text", wanted.alias("asked"))
     sample = labelled(labels, most).withColumnRenamed("level", "label")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from logloom.llm import transducer as t
+from logloom.session import ship_package
 
 #: The vocabulary file that is used if none is named.
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +36,7 @@ def load(raw: bytes) -> t.Transducer:
 
 def share(spark: SparkSession, path: str | None):
     """The vocabulary file for all executors, which so needn't have it. Its size is fixed, 1.6 MB."""
+    ship_package(spark)
     with open(path or vocabulary_path(), "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
