@@ -152,6 +152,15 @@ def test_stream_into_a_store(spark, tmp_path):
     assert plain(spark.read.parquet(str(tmp_path / "replies")).drop("batch").collect()) == plain(said)
 
 
+def test_a_sync_interval_is_the_stream_s_trigger(spark, tmp_path):
+    store = KeyedLog.open(spark, str(tmp_path / "s"), Storage(sync=300))
+    commands = random_commands(9, 20)
+    for _ in feed(spark, str(tmp_path / "in"), [commands]):
+        query = streaming.serve(spark.readStream.schema(DDL).parquet(str(tmp_path / "in/*")), store, str(tmp_path / "replies"), str(tmp_path / "cp"))
+        assert streaming.stop_gracefully(query, 120) and not query.isActive
+    assert live(store) == answers(commands, {})[1]
+
+
 def test_stream_with_state(spark, tmp_path):
     single = [(s, op, keys[:1], value) for s, op, keys, value in random_commands(7, 60)]
     for _ in feed(spark, str(tmp_path / "in"), [single[:30], single[30:]]):
