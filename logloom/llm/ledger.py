@@ -31,7 +31,7 @@ class KeyLedger:
     bucket. The batch is shuffled and sorted once and then goes through a sort-merge left join with each run, whose
     files are streamed as they lie: neither shuffled nor sorted again. Keys without a match are new and
     become a run of their own. ``FAN_IN`` runs of one size are merged into one, so there are some ``8 * log8(batches)``
-    runs, and each key is written again only as often as that logarithm.
+    runs, and each key is written again only as often as that logarithm. The size of a run is the logarithm of its keys.
 
     Keys are compared by all their bytes, so there are no wrong answers. A batch that is
     appended twice, as after a failure, changes nothing: the ledger is a set.
@@ -59,8 +59,8 @@ class KeyLedger:
         self.buckets, self.key_type = body["buckets"], body["key_type"]
 
     def runs(self) -> list[dict]:
-        """``name`` and ``level`` of each run that counts, the largest first."""
-        return sorted(self._manifests.newest()[1]["runs"], key=lambda r: -r["level"])
+        """``name``, ``keys`` and ``level`` of each run that counts, the largest first."""
+        return sorted(self._manifests.newest()[1]["runs"], key=lambda r: -r["keys"])
 
     def _table(self, name: str) -> str:
         """The catalog's name of a run; only the catalog's tables can have buckets."""
@@ -87,7 +87,7 @@ class KeyLedger:
             for name, value in before.items():
                 self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
 
-    def _write(self, keys: DataFrame, shuffled: bool) -> str:
+    def _write(self, keys: DataFrame, shuffled: bool) -> dict:
         name = uuid.uuid4().hex[:12]
         ready = keys.select("key") if shuffled else keys.select("key").repartition(self.buckets, "key")
         with self._planned():
@@ -95,13 +95,16 @@ class KeyLedger:
                 ready.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
                 .mode("append").saveAsTable(self._table(name))
             )
-        return name
+        n, level = self.spark.table(self._table(name)).count(), 0
+        while FAN_IN ** (level + 1) <= n:
+            level += 1
+        return {"name": name, "keys": n, "level": level}
 
     def append(self, keys: DataFrame) -> None:
         """Adds the keys of the column ``key``, which must be distinct and not NULL, then merges runs of one size."""
-        name = self._write(keys, False)
+        run = self._write(keys, False)
         number, body = self._manifests.newest()
-        self._manifests.commit(body | {"runs": [*body["runs"], {"name": name, "level": 0}]}, number)
+        self._manifests.commit(body | {"runs": [*body["runs"], run]}, number)
         self.merge()
 
     def merge(self) -> None:
@@ -119,9 +122,9 @@ class KeyLedger:
             both = self.spark.table(self._table(old[0]["name"]))
             for r in old[1:]:
                 both = both.join(self.spark.table(self._table(r["name"])).hint("merge"), "key", "full")
-            name = self._write(both, True)
+            run = self._write(both, True)
             kept = [r for r in body["runs"] if r not in old]
-            self._manifests.commit(body | {"runs": [*kept, {"name": name, "level": full[0] + 1}]}, number)
+            self._manifests.commit(body | {"runs": [*kept, run]}, number)
 
     def start(self, *histories: DataFrame) -> None:
         """Adds the keys of tables with a column ``key``; NULL is no key."""

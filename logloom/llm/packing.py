@@ -76,6 +76,8 @@ def nnls(combos: np.ndarray, target: np.ndarray, tolerance: float = 1e-6) -> np.
     np.add.at(dense, (np.arange(n)[:, None], index), used.astype(np.float32))
     wanted = np.where(used, target[index], 0).sum(1).astype(float)
     active: list[int] = []
+    # What the chosen combinations have in common, pair by pair; it grows and shrinks with them.
+    gram = np.zeros((0, 0))
     scale = max(1.0, float(np.abs(target).max()))
     left = target.astype(float).copy()
     for _ in range(3 * m):
@@ -85,9 +87,10 @@ def nnls(combos: np.ndarray, target: np.ndarray, tolerance: float = 1e-6) -> np.
         if slope[best] <= tolerance * scale:
             break
         active.append(best)
+        shared = (dense[active] @ dense[best]).astype(float)
+        gram = np.block([[gram, shared[:-1, None]], [shared[None, :]]])
         while active:
-            a = dense[active].astype(float)
-            z = np.linalg.solve(a @ a.T + 1e-9 * np.eye(len(active)), wanted[active])
+            z = np.linalg.solve(gram + 1e-9 * np.eye(len(active)), wanted[active])
             if z.min() > 0:
                 x[active] = z
                 break
@@ -100,6 +103,7 @@ def nnls(combos: np.ndarray, target: np.ndarray, tolerance: float = 1e-6) -> np.
                 gone = falls & (now == now[falls].min())
             x[active] = np.where(gone, 0.0, np.maximum(now, 0.0))
             active = [c for c, g in zip(active, gone.tolist(), strict=True) if not g]
+            gram = gram[~gone][:, ~gone]
         left = target - (x[active] @ dense[active, :m] if active else 0.0)
     return x
 
