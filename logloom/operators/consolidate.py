@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -313,6 +313,13 @@ def with_ids(merged: DataFrame, first_fileid: int) -> DataFrame:
     )
 
 
+def range_of_id(fileid: Column, first_fileid: int) -> tuple[Column, Column, Column]:
+    """The key range of a new file, its number in it, and whether it is one of tombstones."""
+    offset = fileid - F.lit(first_fileid)
+    number = F.shiftright(offset, 1)
+    return F.floor(number / F.lit(IDS_PER_RANGE)).cast("int"), F.pmod(number, F.lit(IDS_PER_RANGE)), F.pmod(offset, F.lit(2)) == 1
+
+
 def range_metadata(log: DataFrame) -> DataFrame:
     """Key range, records and bytes of each file: ``fileid, min_key, max_key, records, bytes``."""
     return log.groupBy("fileid").agg(
@@ -336,6 +343,28 @@ class Consolidation:
     files: DataFrame
     ranges: DataFrame
     kept: DataFrame
+    first_fileid: int
+
+    def file_numbers(self) -> DataFrame:
+        """``fileid, tombstone, file_no``: the number of each file by key order, apart for values and tombstones. Counted within
+        key ranges, of which there are few."""
+        range_no, number, tombstone = range_of_id(F.col("fileid"), self.first_fileid)
+        files = self.ranges.select("fileid", range_no.alias("range_no"), number.alias("number"), tombstone.alias("tombstone"))
+        before = Window.partitionBy("tombstone").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+        n = files.groupBy("tombstone", "range_no").agg(F.count("*").alias("n"))
+        n = n.select("tombstone", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        return files.join(n, ["tombstone", "range_no"]).select("fileid", "tombstone", (F.col("before") + F.col("number")).alias("file_no"))
+
+    def overlaps(self) -> DataFrame:
+        """``n``: files of values, or of tombstones, whose keys begin before those of the file before end. Neighbours are compared within
+        key ranges, and then the ranges, of which there are few, with each other."""
+        range_no, _, tombstone = range_of_id(F.col("fileid"), self.first_fileid)
+        files = self.ranges.withColumns({"range_no": range_no, "tombstone": tombstone})
+        within = F.lag("max_key").over(Window.partitionBy("tombstone", "range_no").orderBy("fileid"))
+        found = files.withColumn("over", F.coalesce(F.col("min_key") < within, F.lit(False)))
+        whole = found.groupBy("tombstone", "range_no").agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"), F.count_if("over").alias("n"))
+        between = F.lag("high").over(Window.partitionBy("tombstone").orderBy("range_no"))
+        return whole.withColumn("over", F.coalesce(F.col("low") < between, F.lit(False))).agg(F.coalesce(F.sum("n") + F.count_if("over"), F.lit(0)).alias("n"))
 
 
 def consolidate(
@@ -351,7 +380,7 @@ def consolidate(
     ranges = key_ranges(kept, target_bytes)
     runs = stored(sorted_runs(copied(log, chosen, kept), ranges), f"{root}/runs")
     files = stored(with_ids(merge_runs(runs, ranges.n, target_bytes), first_fileid), f"{root}/files")
-    return Consolidation(files, stored(range_metadata(files), f"{root}/ranges"), kept)
+    return Consolidation(files, stored(range_metadata(files), f"{root}/ranges"), kept, first_fileid)
 
 
 def consolidate_small(log: DataFrame, root: str, small_bytes: int = SMALL_FILE_BYTES, target_bytes: int = TARGET_FILE_BYTES) -> Consolidation:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.api import KeyedLog
@@ -180,9 +180,8 @@ def _compacted(spark: SparkSession, d: str) -> DataFrame:
 def merged_places(spark: SparkSession, d: str) -> DataFrame:
     """How the new files of a merge are laid out: of each record the number of its file, by key order, and its offset."""
     _, made = _merge(spark, d)
-    files = made.ranges.select("fileid", F.row_number().over(Window.partitionBy(F.pmod("fileid", F.lit(2))).orderBy("fileid")).alias("file_no"))
-    rows = made.files.withColumn("tombstone", F.col("value").isNull()).join(files, "fileid")
-    return rows.select("tombstone", (F.col("file_no") - 1).cast("bigint").alias("file_no"), "pos", *_h("key"), "old_fileid", "old_pos")
+    rows = made.files.join(made.file_numbers(), "fileid")
+    return rows.select("tombstone", "file_no", "pos", *_h("key"), "old_fileid", "old_pos")
 
 
 def compacted_log(spark: SparkSession, d: str) -> DataFrame:
@@ -298,11 +297,13 @@ def resp_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connection_frames(spark: SparkSession, d: str) -> DataFrame:
-    """What connections send, put together again from pieces that hold the end of one command and the begin of the next."""
-    own = Window.partitionBy("user").orderBy("seq")
-    before = F.lag(F.expr("substring(frame, cut + 1)")).over(own)
-    pieces = _cut_commands(spark, d).select("user", "seq", F.concat(F.coalesce(before, F.lit(bytearray(b""))), F.expr("substring(frame, 1, cut)")).alias("bytes"))
-    return resp.read_frames(pieces, "user", "seq").select("connection", "frame_no", "status", *_h("frame"))
+    """What connections send, put together again from pieces that are cut within commands; the end of the last one is lost."""
+    sent = _cut_commands(spark, d)
+    last = sent.groupBy("user").agg(F.max("seq").alias("last"))
+    first, rest = F.expr("substring(frame, 1, cut)"), F.expr("substring(frame, cut + 1)")
+    begins = sent.select("user", (F.col("seq") * 2).alias("n"), first.alias("bytes"))
+    ends = sent.join(last, "user").where("seq < last").select("user", (F.col("seq") * 2 + 1).alias("n"), rest.alias("bytes"))
+    return resp.read_frames(begins.unionByName(ends), "user", "n").select("connection", "frame_no", "status", *_h("frame"))
 
 
 def reply_checks(spark: SparkSession, d: str) -> DataFrame:

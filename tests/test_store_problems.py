@@ -260,7 +260,14 @@ def test_consolidated_files_are_a_log_with_ranges(spark, tmp_path):
         assert bytes(meta[i]["min_key"]) == min(bytes(r["key"]) for r in members) and bytes(meta[i]["max_key"]) == max(bytes(r["key"]) for r in members)
         assert (meta[i]["records"], meta[i]["bytes"]) == (len(members), sum(r["len"] for r in members))
         assert {(r["value"] is None) for r in members} == {(i - first) % 2 == 1}
+    numbers = {r["fileid"]: (r["tombstone"], r["file_no"]) for r in made.file_numbers().collect()}
+    for gone in (False, True):
+        assert [numbers[i] for i in sorted(meta) if (i - first) % 2 == gone] == [(gone, k) for k in range(sum((i - first) % 2 == gone for i in meta))]
+    assert made.overlaps().first()["n"] == 0
+    made.ranges = made.ranges.withColumn("max_key", F.lit(bytearray(b"\xff" * 9)))
+    assert made.overlaps().first()["n"] == len(meta) - 2
     empty = consolidate.consolidate_small(log.limit(0), str(tmp_path / "e"))
+    assert empty.overlaps().first()["n"] == 0
     assert empty.files.count() == 0 and empty.ranges.count() == 0
 
 
