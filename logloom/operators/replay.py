@@ -55,14 +55,13 @@ def with_previous(rows: DataFrame, initial: DataFrame | None = None, block: int
         return found.where("seq IS NOT NULL").select("seq", "idx", "op", "key", "value", "previous")
     cut = rows.withColumn("block", number.cast("bigint")).withColumn("change", change)
     own = Window.partitionBy("key", "block").orderBy("seq", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut.where("change IS NOT NULL").groupBy("key", "block").agg(F.max_by("change", at).alias("end"))
+    last = F.max_by("change", F.when(F.col("change").isNotNull(), at)).alias("end")
+    blocks = cut.groupBy("key", "block").agg(last)
     if initial is not None:
         first = initial.select(
             "key", F.lit(None).cast("bigint").alias("block"), F.struct(F.lit("SET").alias("op"), F.col("value")).alias("end")
         )
-        ends = ends.unionByName(first)
-    blocks = cut.select("key", "block").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)).unionByName(ends)
-    blocks = blocks.groupBy("key", "block").agg(F.first("end", ignorenulls=True).alias("end"))
+        blocks = blocks.unionByName(first)
     earlier = Window.partitionBy("key").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     carry = blocks.select("key", "block", F.last("end", ignorenulls=True).over(earlier).alias("carry")).where("carry IS NOT NULL")
     return (
