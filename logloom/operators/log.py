@@ -91,6 +91,16 @@ def get_by_index(requests: DataFrame, index: DataFrame, log: DataFrame, bits: in
     return _with_values(requests, values.dropDuplicates(["key"]))
 
 
+def read_at(log: DataFrame, places: DataFrame) -> DataFrame:
+    """The records at some places, ``fileid, pos``, with all columns of a log, each once; places where none begins give no row.
+
+    Their files are a filter of the scan, before values move.
+    """
+    own = records(log).select("fileid", "pos", "len", "tstamp", "key", "value")
+    asked = places.where("fileid IS NOT NULL AND pos IS NOT NULL").select("fileid", "pos").distinct()
+    return scan(own.join(asked.select("fileid").distinct(), "fileid", "left_semi").join(asked, ["fileid", "pos"], "left_semi"))
+
+
 def next_fileid(log: DataFrame) -> DataFrame:
     """``fileid`` of the next file: one more than the largest, 0 for an empty log."""
     return log.agg(F.coalesce(F.max("fileid") + 1, F.lit(0)).cast("bigint").alias("fileid"))

@@ -63,13 +63,16 @@ def merge_candidates(stats: DataFrame, thresholds: Thresholds) -> DataFrame:
     return stats.where(is_candidate(thresholds))
 
 
+def allowed(merge: Merge, hour: int) -> bool:
+    """Whether the policy and its hours allow a merge at an hour."""
+    if isinstance(merge.policy, tuple):
+        return merge.policy[0] <= hour <= merge.policy[1]
+    return merge.policy != "never"
+
+
 def may_merge(stats: DataFrame, merge: Merge, hour: int) -> bool:
     """Whether to merge now: the policy and its hours allow it, and a file is above a trigger."""
-    if merge.policy == "never":
-        return False
-    if isinstance(merge.policy, tuple) and not merge.policy[0] <= hour <= merge.policy[1]:
-        return False
-    return merge_trigger(stats, merge.triggers).first()["merge"]
+    return allowed(merge, hour) and merge_trigger(stats, merge.triggers).first()["merge"]
 
 
 def by_merge_hour(times: DataFrame, column: str, start: int, end: int) -> DataFrame:

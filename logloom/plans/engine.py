@@ -9,10 +9,11 @@ from logloom.api import KeyedLog
 from logloom.config import Merge, Net, Storage, Thresholds, Triggers
 from logloom.functions import resp, scalars
 from logloom.operators import compaction, log, replay, stats
-from logloom.schema import LOG
+from logloom.schema import COMMANDS, LOG, REPLIES
 from logloom.session import new_folder
 from logloom.sources import records as files
 from logloom.sources.tables import table
+from logloom.streaming import commands, frames
 
 #: The test store's files are at most 64 KiB, so its limits are lower than the defaults.
 TRIGGERS = Triggers(fragmentation=0.6, dead_bytes=48_000)
@@ -114,6 +115,67 @@ def store_get(spark: SparkSession, d: str) -> DataFrame:
     return KeyedLog.open(spark, root, conf).get_batch(requests).select("feed_seq", "found", *_h("value"))
 
 
+def store_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds after another log was loaded, the feed's sets came as one batch and its deletes as another, and it was opened anew."""
+    root, conf = new_folder(spark, "store"), Storage(max_file_size=65_536)
+    with KeyedLog.open(spark, root, conf) as store:
+        store.load(_log(spark, d))
+        store.set_batch(_feed(spark, d, True), order="seq")
+        store.delete_batch(_feed(spark, d, False))
+    return KeyedLog.open(spark, root, conf).snapshot().select(*_h("key", "value"))
+
+
+def served_replies(spark: SparkSession, d: str) -> DataFrame:
+    """The commands as a stream of files, run on a store batch by batch."""
+    root = new_folder(spark, "served")
+    _commands(spark, d, True).repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{root}/in")
+    with KeyedLog.open(spark, f"{root}/store") as store:
+        stream = spark.readStream.schema(COMMANDS).parquet(f"{root}/in")
+        commands.serve(stream, store, f"{root}/replies", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    replies = spark.read.schema(REPLIES).parquet(f"{root}/replies")
+    return replies.select("seq", "kind", "int_val", F.col("bytes_val").cast("string").alias("text"))
+
+
+def served_connections(spark: SparkSession, d: str) -> DataFrame:
+    """The commands as bytes of connections, cut anywhere; the bytes that come back."""
+    root = new_folder(spark, "served")
+    sent = _pieces(spark, d).select(F.col("user").alias("connection"), "n", "bytes", F.lit(False).alias("ended"))
+    sent.coalesce(1).write.parquet(f"{root}/in")
+    with KeyedLog.open(spark, f"{root}/store") as store:
+        stream = frames.chunk_files(spark, f"{root}/in")
+        frames.serve_connections(stream, store, f"{root}/replies", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    replies = spark.read.schema("connection string, frame_no bigint, bytes binary").parquet(f"{root}/replies")
+    return replies.select("connection", "frame_no", F.hex("bytes").alias("frame_hex"))
+
+
+def read_at(spark: SparkSession, d: str) -> DataFrame:
+    """The records at the places that an old index names."""
+    return log.read_at(_log(spark, d), table(spark, d, "keydir")).select("fileid", "pos", "len", "tstamp", *_h("key", "value"))
+
+
+def hint_files(spark: SparkSession, d: str) -> DataFrame:
+    """The hints written as the bytes of hint files, and read from these."""
+    root = new_folder(spark, "files")
+    files.write_hint_files(table(spark, d, "hint_entries"), root)
+    return files.read_hint_files(spark, root).select("fileid", "pos", "len", "tstamp", *_h("key"))
+
+
+def folder_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """The log and the hints written as data and hint files, and the index recovered from the folder."""
+    root = new_folder(spark, "files")
+    files.write_files(_log(spark, d), root)
+    files.write_hint_files(table(spark, d, "hint_entries"), root)
+    return files.recover_folder(spark, root).select(*_h("key"), "fileid", "pos", "len", "tstamp")
+
+
+def merge_gate(spark: SparkSession, d: str) -> DataFrame:
+    """At which hours of the day a store with merge hours merges."""
+    policy = Merge(policy=MERGE_HOURS, triggers=TRIGGERS)
+    above = stats.merge_trigger(stats.segment_stats(_log(spark, d)), TRIGGERS).first()["merge"]
+    hours = [(h, above and stats.allowed(policy, h)) for h in range(24)]
+    return spark.createDataFrame(hours, "hour int, merges boolean")
+
+
 def set_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The store after all sets of the feed were appended to its log, in their order."""
     old = _log(spark, d)
@@ -298,12 +360,17 @@ def resp_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def connection_frames(spark: SparkSession, d: str) -> DataFrame:
     """What connections send, put together again from pieces that are cut within commands; the end of the last one is lost."""
+    return resp.read_frames(_pieces(spark, d), "user", "n").select("connection", "frame_no", "status", *_h("frame"))
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """``user, n, bytes``: each command in two pieces; of the last one of a user only the first is sent."""
     sent = _cut_commands(spark, d)
     last = sent.groupBy("user").agg(F.max("seq").alias("last"))
     first, rest = F.expr("substring(frame, 1, cut)"), F.expr("substring(frame, cut + 1)")
     begins = sent.select("user", (F.col("seq") * 2).alias("n"), first.alias("bytes"))
     ends = sent.join(last, "user").where("seq < last").select("user", (F.col("seq") * 2 + 1).alias("n"), rest.alias("bytes"))
-    return resp.read_frames(begins.unionByName(ends), "user", "n").select("connection", "frame_no", "status", *_h("frame"))
+    return begins.unionByName(ends)
 
 
 def reply_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +410,8 @@ def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, store_get, set_upsert,
+        log_scan, log_file_bytes, log_positions, record_size, file_ids, next_fileid, file_rotation, snapshot_latest, replaced_records, get_batch, store_get, store_changes, served_replies, served_connections, read_at, hint_files, folder_recovery,
+        merge_gate, set_upsert,
         del_apply, del_existed, del_count, segment_stats, fragmentation, merge_trigger, merge_window, merge_candidates,
         merge_rewrite_rows, merged_places, compacted_log, compacted_snapshot, compacted_stats, hint_index, recovery_union, recovered_index,
         command_replay, del_multi_replay, command_validate, key_utf8_check, resp_encode_commands, resp_encode_replies,
@@ -558,5 +626,34 @@ UNION ALL SELECT user, no + CASE WHEN cut = size THEN 1 ELSE 0 END, CASE WHEN cu
   FROM range(0, 8) AS r(i) WHERE 500 * pow(2, i) <= 64000""",
     "jitter_bounds": "SELECT CAST(18000 - 18000 * 0.3 AS DOUBLE) AS low, CAST(18000 + 18000 * 0.3 AS DOUBLE) AS high",
 }
+ORACLE["store_changes"] = _DELETED + """, sets AS (
+  SELECT key, arg_max(value, feed_seq) AS value FROM change_feed WHERE key IS NOT NULL AND value IS NOT NULL GROUP BY key
+), held AS (SELECT key, value FROM sets UNION ALL SELECT key, value FROM snap WHERE key NOT IN (SELECT key FROM sets))
+SELECT hex(key) AS key_hex, hex(value) AS value_hex FROM held WHERE key NOT IN (SELECT key FROM asked)"""
+ORACLE["served_replies"] = ORACLE["del_multi_replay"]
+ORACLE["served_connections"] = (
+    _MULTI
+    + """, args AS (
+  SELECT seq, 0 AS place, op AS text FROM commands
+  UNION ALL SELECT seq, 1, user || CASE WHEN kind = 'signup' THEN ':signup' ELSE ':purchase' END FROM commands
+  UNION ALL SELECT seq, 2, user || ':signup' FROM commands WHERE op = 'DEL'
+  UNION ALL SELECT seq, 3, user || ':purchase' FROM commands WHERE op = 'DEL'
+  UNION ALL SELECT seq, 2, value FROM commands WHERE op = 'SET'
+), sizes AS (
+  SELECT seq, 3 + length(CAST(count(*) AS VARCHAR)) + sum(5 + length(text) + length(CAST(length(text) AS VARCHAR))) AS size FROM args GROUP BY seq
+), placed AS (
+  SELECT c.user, c.seq, row_number() OVER w - 1 AS frame_no, lead(c.seq) OVER w IS NULL AND c.seq * 7 % (z.size + 1) <> z.size AS lost
+  FROM commands c JOIN sizes z ON z.seq = c.seq WINDOW w AS (PARTITION BY c.user ORDER BY c.seq)
+)
+SELECT p.user AS connection, p.frame_no, hex(encode(CASE r.kind WHEN 'simple' THEN '+' || r.text WHEN 'integer' THEN ':' || r.int_val WHEN 'null' THEN '$-1'
+  ELSE '$' || octet_length(encode(r.text)) || chr(13) || chr(10) || r.text END || chr(13) || chr(10))) AS frame_hex
+FROM placed p JOIN replies r ON r.seq = p.seq WHERE NOT p.lost"""
+)
+ORACLE["read_at"] = _LOG + """ SELECT o.fileid, o.pos, o.len, o.tstamp, hex(o.key) AS key_hex, hex(o.value) AS value_hex
+FROM one o WHERE EXISTS (SELECT 1 FROM keydir k WHERE k.fileid = o.fileid AND k.pos = o.pos)"""
+ORACLE["hint_files"] = "SELECT DISTINCT fileid, pos, len, tstamp, hex(key) AS key_hex FROM hint_entries"
+ORACLE["folder_recovery"] = ORACLE["recovered_index"]
+ORACLE["merge_gate"] = _STATS + """ SELECT CAST(h AS INT) AS hour, h BETWEEN 2 AND 9
+  AND (SELECT bool_or(dead_bytes > 48000 OR fragmentation > 0.6) FROM parts) AS merges FROM range(24) AS r(h)"""
 ORACLE["store_get"] = ORACLE["get_batch"]
 ORACLE["wire_replay"] = ORACLE["resp_encode_replies"]

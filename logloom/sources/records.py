@@ -20,8 +20,8 @@ from logloom.operators.compaction import recover
 from logloom.operators.log import records, scan
 from logloom.schema import HINT, LOG
 
-#: Bytes of a file that are held at a time.
-PIECE = 4 << 20
+#: Bytes of a file that are held at a time; bytes that a task reads, if files are small, and what opening a file counts as.
+PIECE, PARTITION, OPENING = 4 << 20, 64 << 20, 256 << 10
 
 
 def _le(value: Column) -> Column:
@@ -155,13 +155,13 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("file:") else folder.replace("file:", "file://", 1))
 
 
-class _File(InputPartition):
-    def __init__(self, fileid: int, path: str):
-        self.fileid, self.path = fileid, path
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
 
 
 class _Reader(DataSourceReader):
-    """Each file is a partition, which is read in pieces."""
+    """Small files share a partition, up to ``PARTITION`` bytes, where opening a file counts as ``OPENING``; files are read in pieces."""
 
     def __init__(self, folder: str, ending: str, schema, decode: Callable[[bytes], Iterator[tuple]]):
         self.folder, self.ending, self.kind, self.decode = folder, ending, schema, decode
@@ -174,14 +174,24 @@ class _Reader(DataSourceReader):
         for info in system.get_file_info(fs.FileSelector(at)):
             stem = info.base_name.split(".")[0]
             if info.type == fs.FileType.File and info.base_name.endswith(self.ending) and stem.isdigit() and int(stem) < 1 << 63:
-                found.append(_File(int(stem), info.path))
-        return sorted(found, key=lambda f: f.fileid)
+                found.append((int(stem), info.path, info.size or 0))
+        parts, filled = [[]], 0
+        for fileid, path, size in sorted(found):
+            if parts[-1] and filled + size + OPENING > PARTITION:
+                parts, filled = [*parts, []], 0
+            parts[-1].append((fileid, path))
+            filled += size + OPENING
+        return [_Files(p) for p in parts]
 
     def read(self, partition):
+        yield from _batches(self.rows(partition.files), self.kind)
+
+    def rows(self, files: list[tuple[int, str]]) -> Iterator[tuple]:
         system, _ = _open(self.folder)
-        with system.open_input_stream(partition.path) as f:
-            pieces = iter(lambda: f.read(PIECE), b"")
-            yield from _batches(((partition.fileid, *self.row(r)) for r in decode_pieces(pieces, self.decode)), self.kind)
+        for fileid, path in files:
+            with system.open_input_stream(path) as f:
+                for r in decode_pieces(iter(lambda f=f: f.read(PIECE), b""), self.decode):
+                    yield (fileid, *self.row(r))
 
     def row(self, record: tuple) -> tuple:
         return record

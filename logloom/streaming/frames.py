@@ -94,5 +94,15 @@ def serve_connections(chunks: DataFrame, store: KeyedLog, replies: str, checkpoi
         out.write.mode("overwrite").parquet(f"{replies}/batch={number}")
         fs.delete(store._path(work), True)
 
-    query = stream_frames(chunks, commands=True).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    # Spark keeps such state in RocksDB only; the setting is that of the stream from its start on.
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _started(stream_frames(chunks, commands=True), run, checkpoint, trigger)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _started(frames: DataFrame, run, checkpoint: str, trigger: dict) -> StreamingQuery:
+    query = frames.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return query.trigger(**trigger).start() if trigger else query.start()
