@@ -17,6 +17,8 @@ PARTS = 16_384
 SHELF = 128
 #: So many stored sets of read records are rewritten as one.
 MOST_SETS = 16
+#: A run with fewer rows than this part of the records read so far looks its own up there first, instead of shuffling both.
+SMALL_SHARE = 8
 
 PRINTS = "part bigint, n bigint, high bigint, mid bigint, low bigint"
 SUMS = ("n", "high", "mid", "low")
@@ -227,7 +229,8 @@ class UnreadRecords:
         seen.select("part", "key", "tstamp", row_hash(self.COLUMNS).alias("h")).write.parquet(f"{self.root}/read/{name}")
         hashes = self._read("read", [name], "part bigint, h bigint")
         hashes.groupBy("part").agg(*hash_sums(F.col("h"))).write.parquet(f"{self.root}/fingerprints/{prints}")
-        self._manifests.commit({"width": width, "fingerprints": prints, "read": [name], "run": 0}, number)
+        rows = self._read("fingerprints", [prints], PRINTS).agg(F.sum("n")).first()[0] or 0
+        self._manifests.commit({"width": width, "fingerprints": prints, "read": [name], "run": 0, "rows": rows}, number)
 
     def _coarser(self, prints: DataFrame, times: int) -> DataFrame:
         """Fingerprints of parts that are so many times as wide."""
@@ -255,8 +258,10 @@ class UnreadRecords:
         parts = [r["part"] for r in changed_parts(now, self._coarser(before, times)).collect()]
         known = body["read"] if body else []
         fresh = self._changed_rows(self._rows(log, width), parts, width)
-        self._unknown(fresh, self._read("read", known, self._types(log))).write.parquet(f"{self.root}/read/{out}")
-        made = {"width": width, "fingerprints": own, "read": [*known, out], "run": (body or {"run": 0})["run"] + 1, "changed": len(parts)}
+        rows, mine = (body or {}).get("rows", 0), now.where(F.col("part").isin(parts)).agg(F.sum("n")).first()[0] or 0
+        small = mine * SMALL_SHARE < rows
+        self._unknown(fresh, self._read("read", known, self._types(log)), small).write.parquet(f"{self.root}/read/{out}")
+        made = {"width": width, "fingerprints": own, "read": [*known, out], "run": (body or {"run": 0})["run"] + 1, "changed": len(parts), "rows": rows + mine}
         return self._read("read", [out], self._types(log)), made, number
 
     def _changed_rows(self, rows: DataFrame, parts: list[int], width: int) -> DataFrame:
@@ -271,18 +276,26 @@ class UnreadRecords:
         stored = table.read(changed.withColumn("_row", F.lit(True)).schema)
         return stored.where(F.col("shelf").isin(shelves)) if shelves else stored.where("false")
 
-    def _unknown(self, fresh: DataFrame, known: DataFrame) -> DataFrame:
-        """``key, tstamp, fileid, pos`` of each record of ``fresh`` that isn't known, at its lowest position."""
+    def _unknown(self, fresh: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+        """``key, tstamp, fileid, pos`` of each record of ``fresh`` that isn't known, at its lowest position.
+
+        If ``fresh`` is ``small`` beside what is known, what is known of it is found first; Spark does that without a shuffle of
+        what is known, as long as the records of ``fresh`` stay below its threshold for broadcasts. The result is the same.
+        """
         records = fresh.groupBy("key", "tstamp").agg(F.min(F.struct("fileid", "pos")).alias("at")).select("key", "tstamp", "at.*")
         same = F.expr("a.key <=> b.key AND a.tstamp <=> b.tstamp")
-        return records.alias("a").join(known.select("key", "tstamp").alias("b"), same, "left_anti")
+        known = known.select("key", "tstamp")
+        if small:
+            asked = fresh.select("key", "tstamp").distinct()
+            known = known.alias("a").join(asked.alias("b"), same, "left_semi")
+        return records.alias("a").join(known.alias("b"), same, "left_anti")
 
     def commit(self, made: dict, number: int) -> None:
         """Makes a prepared run count."""
         if len(made["read"]) > MOST_SETS:
             name = self._new()
             one = self.spark.read.parquet(f"{self.root}/read/{made['read'][-1]}").select("key", "tstamp").schema
-            self.spark.read.schema(one).parquet(*[f"{self.root}/read/{n}" for n in made["read"]]).distinct().write.parquet(f"{self.root}/read/{name}")
+            self.spark.read.schema(one).parquet(*[f"{self.root}/read/{n}" for n in made["read"]]).write.parquet(f"{self.root}/read/{name}")
             made = made | {"read": [name]}
         self._manifests.commit(made, number)
 
@@ -292,8 +305,22 @@ class UnreadRecords:
         self.commit(made, number)
         return records
 
+    def vacuum(self) -> int:
+        """Deletes what runs have left that failed or are past; returns how many folders. No run may be under way, and tables that
+        runs returned can't be read any more, but for that of the last."""
+        body, gone = self.last_run(), 0
+        kept = {"read": body.get("read", []), "fingerprints": [body.get("fingerprints")]}
+        fs, path = self._manifests.fs, self._manifests._path
+        for kind, names in kept.items():
+            folder = path(f"{self.root}/{kind}")
+            for s in fs.listStatus(folder) if fs.exists(folder) else []:
+                if s.getPath().getName() not in names:
+                    fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone
+
     def last_run(self) -> dict:
-        """``run``, ``width`` and how many partitions were ``changed`` in the last run that counts."""
+        """``run``, ``width`` and how many parts were ``changed`` in the last run that counts; ``rows`` is how many rows were read, at most."""
         return self._manifests.newest()[1] or {}
 
 

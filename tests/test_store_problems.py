@@ -88,8 +88,9 @@ def unread(rows, ledger, marks):
     return sorted(min(p) for p in found.values() if not any(pos <= upto.get(f, -1) for f, pos in p))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_unread_records(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "small"), [(0, 8), (1, 0), (2, 0)])
+def test_unread_records(spark, tmp_path, monkeypatch, seed, small):
+    monkeypatch.setattr(incremental, "SMALL_SHARE", small)
     rows = random_log(seed)
     ledger, marks = random_runs(seed, rows)
     log = spark.createDataFrame(rows, LOG_DDL).withColumn("seen", F.lit("clash")).withColumn("part", F.lit(1))
@@ -138,6 +139,7 @@ def test_runs_bring_out_each_record_once(spark, tmp_path, monkeypatch):
     assert delivered == lowest
     # Partitions have become wider, and still only what changed is read.
     assert reader.last_run()["width"] * 8 >= files[-1] - files[6]
+    assert reader.vacuum() > 3 and reader.vacuum() == 0
     again = spark.createDataFrame([*rows, (files[3], 9_999, 1, 77, b"late", None)], LOG_DDL)
     assert brought_out(reader.run(again)) == [(files[3], 9_999)] and reader.last_run()["changed"] == 1
 
